@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from driftwood.llm.decontaminate import op10_winnowing_decontamination
 from driftwood.llm.near_duplicates import op5_minhash_near_dedup
 
+from driftwood.llm.packing import op2_cutting_stock_packing
+
 QUERIES = {
+    "op2_cutting_stock_packing": (op2_cutting_stock_packing, None),
     "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
+    "op10_winnowing_decontamination": (op10_winnowing_decontamination, None),
 }

@@ -19,6 +19,8 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # a union that reports its children's partitioning can meet a side that AQE has coalesced or split differently
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

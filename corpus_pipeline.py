@@ -23,9 +23,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8); one row of each repeated doc_id that is kept."""
-    kept = near_duplicates(docs).filter("kept or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept.filter("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near-duplicates (five words, similarity 0.8); of repeated rows, one; all rows without a doc_id."""
+    kept = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    one = docs.join(kept.filter("n = 1"), "doc_id", "left_semi")
+    rows = one.unionByName(docs.filter("doc_id is null"))
+    repeated = kept.filter("n > 1")
+    if not repeated.isEmpty():
+        rows = rows.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return rows.select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

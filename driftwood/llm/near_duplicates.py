@@ -151,16 +151,17 @@ def _links(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, size: int, nu
     return found
 
 
-def _between(members: DataFrame, tested: DataFrame) -> DataFrame:
+def _between(members: DataFrame, bands: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs (a, b) of one bucket but different components; members: key, id, comp.
 
-    Large buckets that hold several components are divided by a second band (bands: all keys of the member).
+    Large buckets that hold several components are divided by a second band of their members; bands: id, bands.
     """
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     inside = members.join(mixed.select("key", "n"), "key")
     small = inside.filter(F.col("n") <= BUCKET).select("key", "id", "comp")
     large = (
         inside.filter(F.col("n") > BUCKET)
+        .join(bands, "id")
         .select("key", "id", "comp", F.explode("bands").alias("second"))
         .filter("second <> key")
         .select(F.xxhash64("key", "second").alias("key"), "id", "comp")
@@ -192,9 +193,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     joined = some.join(classes, ["f1", "f2", "n_shingles"])
     reps = materialize(joined.filter("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sig"))
 
-    keys = reps.select(F.col("doc_id").alias("id"), "bands", F.explode("bands").alias("key"))
+    keys = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    bucketed = keys.select("key", "id").join(heads, "key")
+    bucketed = materialize(keys.join(heads.select("key", "head"), "key"))
     star = bucketed.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     tested = materialize(star)
     links = _links(tested, reps, docs, size, num, den, bands * rows)
@@ -204,8 +205,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         new = materialize(components(edges))
         drop(comp)
         comp = new
-        members = keys.join(heads.select("key"), "key", "left_semi").join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        more = materialize(_between(members, tested))
+        members = bucketed.select("key", "id").join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        more = materialize(_between(members, reps.select(F.col("doc_id").alias("id"), "bands"), tested))
         found = _links(more, reps, docs, size, num, den, bands * rows)
         if found.isEmpty():
             break

@@ -106,11 +106,11 @@ def graph_user_profile_mean(spark, d):
     return g.profile_means(e, x, "o_totalprice").select("dst", "n", F.round("mean", 4).alias("mean"))
 
 
-@query(f"WITH {DEPS}, x AS (SELECT name AS src, dep AS dst, o_totalprice AS v FROM deps JOIN orders ON name = o_orderkey) SELECT src, dst, round(CASE WHEN count(*) OVER w > 1 THEN (sum(v) OVER w - v) / (count(*) OVER w - 1) ELSE 0 END, 1) AS others FROM x WINDOW w AS (PARTITION BY dst)")
+@query(f"WITH {DEPS}, x AS (SELECT name AS src, dep AS dst, round(o_totalprice * 100)::BIGINT AS v FROM deps JOIN orders ON name = o_orderkey) SELECT src, dst, (CASE WHEN count(*) OVER w > 1 THEN (sum(v) OVER w - v)::DOUBLE / (count(*) OVER w - 1) ELSE 0 END)::DOUBLE AS others FROM x WINDOW w AS (PARTITION BY dst)")
 def graph_leave_one_out(spark, d):
     e = deps(spark, d).select(F.col("name").alias("src"), F.col("dep").alias("dst"))
-    x = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), "o_totalprice")
-    return g.leave_one_out(e, x, "o_totalprice").select("src", "dst", F.round("others", 1).alias("others"))
+    x = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    return g.leave_one_out(e, x, "cents")
 
 
 @query(f"WITH {DEPS}, k AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 0) SELECT name, dep FROM deps WHERE name IN (FROM k) AND (dep IN (FROM k) OR dep NOT IN (SELECT o_orderkey FROM orders))")

@@ -195,3 +195,34 @@ def inject_anomaly_donor(spark, d):
     c = v.filter("id % 5 = 0").select("id", F.col("x").alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("k")).withColumn("donor", (F.col("id") * 7 + F.col("k")) % n)
     j = c.join(v.select(F.col("id").alias("donor"), "x"), "donor").select("id", "donor", fn.squared_distance(F.col("own"), F.col("x")).alias("d"))
     return j.groupBy("id").agg(F.min(F.struct((-F.col("d")).alias("d"), "donor")).alias("m")).select("id", "m.donor")
+
+
+@query()
+def encoder_gin_svdd(spark, d):
+    """One sampled graph layer over the exact-neighbour graph of the vectors, scored by distance to the training centre."""
+    from driftwood.operators import encoders as enc
+
+    v = vectors(spark, d).select("id", "x", "label")
+    n = det.neighbours(v, v.filter("id % 5 <> 0"), 5).groupBy(F.col("q").alias("node")).agg(F.array_sort(F.collect_list("r")).alias("nb"))
+    h = enc.gin_layer(v.select("id", "x"), enc.sampled(n, 8, "gin"), enc.weights(64, 16, 3), 64)
+    return enc.svdd_scores(h, h.filter("id % 5 <> 0"))
+
+
+@query()
+def source_requirement_names(spark, d):
+    """Metadata headers built from parts, parsed as an archive's are."""
+    import pandas as pd
+
+    from driftwood.sources.archives import declared, metadata
+
+    head = F.concat_ws("\n", F.concat(F.lit("Name: "), "p_name"), F.concat(F.lit("Home-page: https://github.com/"), F.lower("p_brand")), F.concat(F.lit("Author: "), "p_brand"), F.concat(F.lit("Requires-Dist: "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" (>=1)")), F.lit("License: MIT"), F.lit(""), F.col("p_type"))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for key, text in zip(b.p_partkey, b["head"], strict=True):
+                m, (deps, status) = metadata(text), declared({"x/PKG-INFO": text})
+                rows.append((key, deps[0][0] if deps else None, status, m["link_count"], m["has_source_repo"], m["description_length"], m["author_repo_consistency"]))
+            yield pd.DataFrame(rows, columns=["p_partkey", "dep", "status", "link_count", "has_source_repo", "description_length", "author_repo_consistency"])
+
+    return table(spark, d, "part").select("p_partkey", head.alias("head")).mapInPandas(run, "p_partkey long, dep string, status string, link_count int, has_source_repo int, description_length int, author_repo_consistency int")

@@ -133,6 +133,8 @@ TABLE = np.array([
     (20, 0.8, 40, 0.0, 15, 0.7, 0, 0, 0, 0), (30, 0.6, 3, 1.0, 4, 1.0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
     (5, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (6, 0.1, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0),
     (2, 0.0, 3, 0.0, 2, 0.5, 0, 0, 0, 0), (5, 0.0, 4, 0.5, 4, 0.0, 0, 0, 0, 0), (7, 0.5, 30, 0.0, 30, 0.0, 0, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 28, 0.0, 0, 0, 0, 0), (2, 1.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0), (2, 1.0, 60, 0.0, 70, 0.0, 0, 0, 1, 0),
+    (8, 0.9, 90, 0.0, 50, 0.0, 0, 0, 0, 0), (25, 0.7, 60, 0.0, 80, 0.0, 0, 0, 0, 0), (5, 0.8, 20, 0.0, 30, 0.1, 0, 0, 0, 0),
     # main text inside containers named for it, of any length, with or without links
     (120, 0.0, 10, 0.0, 80, 0.0, 0, 1, 0, 1), (30, 0.2, 50, 0.0, 40, 0.1, 0, 1, 0, 1), (1, 0.0, 90, 0.0, 70, 0.0, 0, 1, 0, 1),
     (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (7, 0.0, 8, 0.0, 60, 0.0, 0, 1, 1, 1),

@@ -5,13 +5,16 @@ Plan
 2. Documents of equal sets form a class with its least doc_id as representative; only representatives go on.
 3. In each band bucket every representative is compared with the bucket's least one (never all pairs).
 4. Candidates pass a signature estimate, then are confirmed on their full sets.  Components follow from the links.
-5. Buckets that still hold several components are searched for links between them, and so on until none is found.
-   A large bucket is first divided by every second band, so no bucket's pairs grow with the square of a hot group.
+5. Buckets that still hold several components are compared with other members of theirs for ROUNDS rounds, which joins
+   dense groups.  In a last pass the members of different components of a bucket are compared: in a small bucket as
+   pairs whose sizes and low bits of the minima allow the similarity; the members of large buckets are
+   clustered, and the sets of a cluster meet in blocks, which send their links and no pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +24,12 @@ from driftwood.llm.common import drop, materialize, table, tune
 from driftwood.llm.components import components
 
 U64 = np.uint64
-#: A bucket with more representatives than this is divided by a second band before its pairs are formed.
-BUCKET = 64
+#: Representatives of a small bucket, at most; of a block of a cluster.
+BUCKET, BLOCK = 64, 256
+#: Rounds with another head of each bucket before pairs are formed.
+ROUNDS = 3
+#: Documents whose sets are fetched by a broadcast of their ids, at most; beyond that the texts are shuffled to the ids.
+SENT = 500_000
 
 
 class Minima:
@@ -62,6 +69,7 @@ def _profile(size: int, minima: Minima):
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 f1, f2 = np.zeros(hi - lo, U64), np.zeros(hi - lo, U64)
+                bits = np.zeros((2, hi - lo), np.int64)
                 sig = [None] * (hi - lo)
                 keys: list = [None] * (hi - lo)
                 if len(full):
@@ -69,13 +77,15 @@ def _profile(size: int, minima: Minima):
                     f1[full] = np.add.reduceat(tk.mix(h), at[:-1])
                     f2[full] = np.add.reduceat(tk.mix(h ^ U64(0xA5A5A5A55A5A5A5A)), at[:-1])
                     minimum = minima.signatures(h, at)
+                    low = np.packbits((minimum[:, :128] & 1).astype(bool), axis=1).view(np.int64)
+                    bits[0, full], bits[1, full] = low[:, 0], low[:, -1]
                     raw, band = minimum.tobytes(), minima.keys(minimum).view(np.int64)
                     for j, i in enumerate(full):
                         sig[i] = raw[j * width : (j + 1) * width]
                         keys[i] = band[j]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                    ["doc_id", "n_shingles", "f1", "f2", "bands", "sig"],
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(bits[0]), pa.array(bits[1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                    ["doc_id", "n_shingles", "f1", "f2", "low1", "low2", "bands", "sig"],
                 )
 
     return run
@@ -138,6 +148,8 @@ def _links(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, size: int, nu
     if near.isEmpty():
         return near
     ends = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+    if near.count() <= SENT // 2:
+        ends = F.broadcast(ends)
     sets = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, hashes binary")
     sets = materialize(sets.join(profiles.select("doc_id"), "doc_id", "left_semi"))
     found = (
@@ -151,27 +163,75 @@ def _links(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, size: int, nu
     return found
 
 
-def _between(members: DataFrame, bands: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components; members: key, id, comp.
+def _heads(members: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's head of round k and its members of other components."""
+    head = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "comp")).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return members.join(head, "key").filter("comp <> head.comp").select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
 
-    Large buckets that hold several components are divided by a second band of their members; bands: id, bands.
+
+def _between(members: DataFrame, num: int, den: int, bits: int) -> DataFrame:
+    """Pairs (a, b) of one small bucket but different components whose sizes and low bits allow the similarity.
+
+    members: key, id, comp, n, low1, low2.  Of bits low bits, those of a linked pair differ in (1 - similarity) / 2;
+    4.5 standard deviations more are let through.
     """
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    inside = members.join(mixed.select("key", "n"), "key")
-    small = inside.filter(F.col("n") <= BUCKET).select("key", "id", "comp")
-    large = (
-        inside.filter(F.col("n") > BUCKET)
-        .join(bands, "id")
-        .select("key", "id", "comp", F.explode("bands").alias("second"))
-        .filter("second <> key")
-        .select(F.xxhash64("key", "second").alias("key"), "id", "comp")
-    )
-    still = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rows = small.unionByName(large.join(still, "key"))
-    left = rows.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    differ = (1 - num / den) / 2
+    most = int(bits * differ + 4.5 * (bits * differ * (1 - differ)) ** 0.5)
+    left, right = (members.select("key", *(F.col(c).alias(c + side) for c in ("id", "comp", "n", "low1", "low2"))) for side in "ab")
+    similar = f"ida < idb and compa <> compb and {den} * least(na, nb) >= {num} * greatest(na, nb) and bit_count(low1a ^ low1b) + bit_count(low2a ^ low2b) <= {most}"
+    return left.join(right, "key").filter(similar).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+
+
+def _block_links(num: int, den: int):
+    """Links between the members of two blocks of a cluster (or within one), of different components."""
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("id").sort_values(["block", "id"])
+        sets = [np.frombuffer(x, U64) for x in group.hashes]
+        size, ids, comp = np.array([len(x) for x in sets]), group.id.to_numpy(), group.comp.to_numpy()
+        word, at = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        first = group.block.to_numpy() == key[1]
+        x, y = np.flatnonzero(first), np.flatnonzero(~first if key[1] != key[2] else first)
+        both = np.zeros((len(x), len(y)), np.float32)
+        for lo in range(0, len(word), 4096):
+            part = slice(*np.searchsorted(at, [lo, lo + 4096]))
+            has = np.zeros((len(sets), 4096), np.float32)
+            has[row[part], at[part] - lo] = 1
+            both += has[x] @ has[y].T
+        both = both.astype(np.int64)
+        ok = (den * both >= num * (size[x][:, None] + size[y][None, :] - both)) & (comp[x][:, None] != comp[y][None, :]) & (ids[x][:, None] != ids[y][None, :])
+        i, j = np.nonzero(ok)
+        return pd.DataFrame({"a": np.minimum(ids[x[i]], ids[y[j]]), "b": np.maximum(ids[x[i]], ids[y[j]])})
+
+    return run
+
+
+def _clustered(members: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components of large buckets; members: key, id, comp.
+
+    Members that large buckets join, directly or by others, are a cluster, so a document is in one cluster however many
+    buckets it shares, and in as many tasks as the cluster has blocks.
+    """
+    heads = members.groupBy("key").agg(F.min("id").alias("head"))
+    cluster = materialize(components(members.join(heads, "key").select(F.col("head").alias("a"), F.col("id").alias("b"))))
+    blocks = cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    comp = members.select("id", "comp").distinct()
+    placed = cluster.join(blocks, "component").join(comp, "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    ids = placed.select(F.col("id").alias("doc_id"))
+    ids = F.broadcast(ids) if cluster.count() <= SENT else ids
+    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, hashes binary").withColumnRenamed("doc_id", "id"))
+    dealt = placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "hashes")
+    return dealt.groupBy("component", "i", "j").applyInPandas(_block_links(num, den), "a long, b long").distinct()
+
+
+def _members(bucketed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, id, comp) of all buckets with the components of the links so far."""
+    comp = materialize(components(edges)).select("id", F.col("component").alias("comp"))
+    return bucketed.select("key", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, bands: int = 34, rows: int = 5) -> DataFrame:
@@ -187,30 +247,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     tune(spark)
     docs = docs.select("doc_id", "text")
     minima = Minima(bands, rows)
-    profiles = materialize(docs.mapInArrow(_profile(size, minima), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary"))
+    profiles = materialize(docs.mapInArrow(_profile(size, minima), "doc_id long, n_shingles long, f1 long, f2 long, low1 long, low2 long, bands array<long>, sig binary"))
     some = profiles.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     joined = some.join(classes, ["f1", "f2", "n_shingles"])
-    reps = materialize(joined.filter("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sig"))
+    reps = materialize(joined.filter("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "sig", "low1", "low2"))
 
     keys = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
     bucketed = materialize(keys.join(heads.select("key", "head"), "key"))
-    star = bucketed.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    tested = materialize(star)
-    links = _links(tested, reps, docs, size, num, den, bands * rows)
-    edges = links
-    comp = None
-    while True:
-        new = materialize(components(edges))
-        drop(comp)
-        comp = new
-        members = bucketed.select("key", "id").join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        more = materialize(_between(members, reps.select(F.col("doc_id").alias("id"), "bands"), tested))
+    tested = materialize(bucketed.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    edges = _links(tested, reps, docs, size, num, den, bands * rows)
+    shape = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "low1", "low2")
+    for k in range(ROUNDS):
+        members = _members(bucketed, edges)
+        more = materialize(_heads(members, k).join(tested, ["a", "b"], "left_anti"))
         found = _links(more, reps, docs, size, num, den, bands * rows)
+        tested = tested.unionByName(more)
         if found.isEmpty():
             break
-        edges, tested = edges.unionByName(found), tested.unionByName(more)
+        edges = edges.unionByName(found)
+    members = _members(bucketed, edges)
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members")
+    members = materialize(members.join(mixed, "key"))
+    pairs = _between(members.filter(F.col("members") <= BUCKET).join(shape, "id"), num, den, min(128, bands * rows))
+    more = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+    edges = edges.unionByName(_links(more, reps, docs, size, num, den, bands * rows))
+    large = members.filter(F.col("members") > BUCKET)
+    if not large.isEmpty():
+        edges = edges.unionByName(_clustered(large, docs, size, num, den))
+    comp = materialize(components(edges))
 
     by_rep = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("least"))
     return profiles.select("doc_id", "n_shingles", "f1", "f2").join(by_rep, ["f1", "f2", "n_shingles"], "left").select(

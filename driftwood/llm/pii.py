@@ -19,7 +19,7 @@ _WORD = r"[\p{Lu}][\p{L}'’-]++"
 MALE = r"Mr\.?|Herr|Monsieur|Señor|господин|г-н"
 FEMALE = r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme|Señora|Señorita|госпожа|г-жа"
 EITHER = r"Dr\.?|Prof\.?"
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d{1,2})"
 #: kind -> pattern, in the order in which they are tried at a place.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}.-]*[\p{L}\p{N}])?\.\p{L}{2,}",

@@ -6,11 +6,14 @@ into the same group.  The strings of consecutive starts that share an anchor for
 twice go on.
 
 1. Segments that are equal as a whole are counted (with map-side sums), however many there are.
-2. The distinct segments of an anchor meet in one suffix array, pooled with those of other anchors.  Over the suffix order,
+2. A string contains its anchor with HALF bytes before it, or with HALF bytes behind it.  Distinct segments go on only
+   where another one of their anchor has the same bytes there, which drops short common lines.
+3. The distinct segments of an anchor meet in one suffix array, pooled with those of other anchors.  Over the suffix order,
    the previous and next smaller positions give each start its longest earlier match (LPF), the previous and next
    greater ones its longest later match.
-3. An anchor with more than GROUP distinct segments isn't gathered: its segments are halved at fixed offsets from
-   the anchor and equal halves counted, down to single strings.
+4. An anchor with more than GROUP distinct segments isn't gathered: its segments are halved at fixed offsets from
+   the anchor; equal halves are counted, and halves whose strings' common core occurs once are dropped, down to
+   single strings.
 """
 
 from __future__ import annotations
@@ -45,54 +48,50 @@ def sliding_min(x: np.ndarray, window: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offs: np.ndarray, span: int, gram: int):
-    """(document, anchor hash, segment hash, first start, last start, anchor) of the segments in data; positions within data."""
-    none = (np.zeros(0, np.int64),) * 6
-    lengths = np.diff(offs)
-    valid = np.repeat(np.arange(len(lengths)), np.maximum(lengths - span + 1, 0))
-    if not len(valid):
-        return none
-    p = np.arange(len(valid)) - np.repeat(np.cumsum(np.maximum(lengths - span + 1, 0)) - np.maximum(lengths - span + 1, 0), np.maximum(lengths - span + 1, 0)) + offs[valid]
+    """(document, anchor hash, segment hash, left hash, right hash, first start, last start, anchor) of the segments in data.
+
+    Positions are within data.  The side hashes are 0 where no string of the segment has half the bytes on that side.
+    """
+    counts = np.maximum(np.diff(offs) - span + 1, 0)
+    if not counts.any():
+        return (np.zeros(0, U64),) * 8
     code = tk.prefix_code(data)
-    at = np.arange(len(data) - gram + 1)
-    g = tk.span_hashes(code, at, at + gram)
-    least = sliding_min(g, span - gram + 1)[p]
-    some = np.zeros(len(g), bool)
-    # a start whose least differs from the start before holds its anchor at one of its ends; follow to the first equal gram
-    change = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (p[1:] != p[:-1] + 1))))
-    for k in range(span - gram + 1):
-        here = p[change] + k
-        hit = g[here] == least[change]
-        some[here[hit]] = True
-        change = change[~hit]
-        if not len(change):
-            break
-    # equal least grams recur in periodic texts: the leftmost one leaves the window and the next takes over
-    chosen = np.flatnonzero(some)
-    place = np.searchsorted(chosen, p)
-    anchor = np.full(len(p), -1, np.int64)
-    live = np.arange(len(p))
-    while len(live):
-        live_in = place[live] < len(chosen)
-        spot = np.where(live_in, chosen[np.minimum(place[live], len(chosen) - 1)], len(g))
-        within = spot <= p[live] + (span - gram)
-        hit = within & (g[np.minimum(spot, len(g) - 1)] == least[live])
-        anchor[live[hit]] = spot[hit]
-        place[live[within & ~hit]] += 1
-        lost = live[~within]
-        if len(lost):  # the next equal gram wasn't chosen yet
-            for k in range(span - gram + 1):
-                here = p[lost] + k
-                some[here[g[here] == least[lost]]] = True
-            chosen = np.flatnonzero(some)
-            place[lost] = np.searchsorted(chosen, p[lost])
-            keep = live[within & ~hit]
-            place[keep] = np.searchsorted(chosen, p[keep])
-        live = live[~hit]
-    new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1)))
+    _, down = tk.powers(len(code))
+    g = tk.mix((code[gram:] - code[:-gram]) * down[: len(code) - gram])
+    least = sliding_min(g, span - gram + 1)
+    # runs of starts in one document whose windows have the same least gram
+    new = np.ones(len(least), bool)
+    new[1:] = least[1:] != least[:-1]
+    full = np.flatnonzero(counts)
+    new[offs[full]] = True
+    ends = offs[full] + counts[full]
+    new[ends[ends < len(new)]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(p)) - 1
-    p1, p2 = p[first], p[last]
-    return valid[first], g[anchor[first]], tk.span_hashes(code, p1, p2 + span), p1, p2, anchor[first]
+    last = np.append(first[1:], len(least)) - 1
+    doc = np.searchsorted(offs, first, "right") - 1
+    own = first < offs[doc] + counts[doc]
+    first, last, doc = first[own], last[own], doc[own]
+    out = []
+    while len(first):
+        anchor, todo = np.zeros(len(first), np.int64), np.arange(len(first))
+        for k in range(span - gram + 1):
+            here = first[todo] + k
+            hit = g[here] == least[first[todo]]
+            anchor[todo[hit]] = here[hit]
+            todo = todo[~hit]
+            if not len(todo):
+                break
+        out.append((doc, first, np.minimum(last, anchor), anchor))
+        again = last > anchor  # starts after the anchor have the next equal gram (periodic texts)
+        first, last, doc = anchor[again] + 1, last[again], doc[again]
+    doc, p1, p2, anchor = (np.concatenate(x) for x in zip(*out, strict=True))
+    half = (span - gram) // 2
+    sides = []
+    for some, start, end in ((anchor - p1 >= half, anchor - half, anchor + gram), (anchor - p2 <= span - gram - half, anchor, anchor + gram + half)):
+        side = np.zeros(len(p1), U64)
+        side[some] = tk.span_hashes(code, start[some], end[some])
+        sides.append(side)
+    return doc, g[anchor], tk.span_hashes(code, p1, p2 + span), *sides, p1, p2, anchor
 
 
 def _runs(column, step: int, span: int):
@@ -111,17 +110,27 @@ def _scan(span: int, gram: int):
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("h")
             for lo, data, offs, shift in _runs(batch.column("text"), STEP, span):
-                doc, g, seg, p1, p2, a = segments(data, offs, span, gram)
+                doc, g, seg, left, right, p1, p2, a = segments(data, offs, span, gram)
+                doc, p1, p2, a = (x.astype(np.int64) for x in (doc, p1, p2, a))
                 row = pa.array(doc + lo)
                 start = p1 - offs[doc] + shift
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(row), hashes.take(row), pa.array(g.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(start), pa.array((a - p1) << 8 | (p2 - p1))],
-                    ["doc_id", "h", "g", "seg", "start", "shape"],
+                    [ids.take(row), hashes.take(row), *(pa.array(x.view(np.int64)) for x in (g, seg, left, right)), pa.array(start), pa.array((a - p1) << 8 | (p2 - p1))],
+                    ["doc_id", "h", "g", "seg", "left", "right", "start", "shape"],
                 )
 
     return run
 
 
+def _anchors(span: int, gram: int):
+    def run(batches):
+        for batch in batches:
+            for _, data, offs, _ in _runs(batch.column("text"), STEP, span):
+                yield pa.RecordBatch.from_arrays([pa.array(segments(data, offs, span, gram)[1].view(np.int64))], ["g"])
+
+    return run
+
+
 def _cut(span: int):
     """The bytes of the wanted segments of each document."""
 
@@ -182,19 +191,20 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.nd
     return order, np.concatenate(([0], common))
 
 
-def longest_matches(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Longest match of each start with an earlier and with a later one (starts are numbered by position).
+def longest_matches(order: np.ndarray, common: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Longest match of each start with an earlier and with a later one (starts are numbered by position); 0 if shorter than least.
 
     One sweep over the suffix order with a stack of positions: when a smaller position comes, it is the next smaller one of
     those it removes, and what then lies below it is its previous smaller one.  Negated positions give the later ones.
     """
     n = len(order)
-    out = []
-    for positions in (order.tolist(), (n - 1 - order).tolist()):
+    common = np.where(common >= least, common, 0)
+    some = (common > 0) | np.append(common[1:] > 0, False)[:n]  # others match nothing, and are between no two that match
+    shared, out = common[some].tolist(), []
+    for positions in (order[some].tolist(), (n - 1 - order[some]).tolist()):
         best = [0] * (n + 1)
         stack: list[tuple[int, int]] = []  # (position, length shared with the entry below)
-        shared = common.tolist()
-        for k in range(n):
+        for k in range(len(shared)):
             p, length = positions[k], shared[k]
             while stack and stack[-1][0] > p:
                 q, below = stack.pop()
@@ -220,7 +230,7 @@ def _pooled(keep_first: bool, span: int):
         seg = np.repeat(np.arange(len(rows)), counts)
         starts = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts) + base[seg]
         order, common = suffix_order(data, starts, span)
-        earlier, later = longest_matches(order, common)
+        earlier, later = longest_matches(order, common, span)
         hit = earlier >= span
         if not keep_first:
             hit |= later >= span
@@ -256,21 +266,28 @@ def _ranges(rows) -> pa.RecordBatch:
 
 
 def _halves(span: int):
-    """Divide segments (lo..hi: offsets of their starts before the anchor) at the middle of their dyadic block; hash both halves."""
+    """Divide segments (lo..hi: offsets of their starts before the anchor) at the middle of their dyadic block.
+
+    full is the hash of a half's bytes, core that of the bytes which all strings of its block have.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc, h, g, start, lo, hi, level, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "h", "g", "start", "lo", "hi", "level", "bytes")), strict=True):
-                middle = (hi >> level << level) | (1 << level >> 1)
-                for a, b in ((lo, min(hi, middle - 1)), (max(lo, middle), hi)):  # larger offsets start earlier
-                    if a <= b and level:
-                        part = text[hi - b : hi - a + span]
-                        digest = hashlib.blake2b(part, digest_size=16).digest()
-                        rows.append((doc, h, g, start + hi - b, a, b, level - 1, part, digest))
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            types = [pa.int64()] * 7 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "h", "g", "start", "lo", "hi", "level", "bytes", "digest"])
+                size = 1 << level >> 1
+                base = hi >> level << level
+                for block in (base, base + size):  # larger offsets start earlier
+                    a, b = max(lo, block), min(hi, block + size - 1)
+                    if a > b:
+                        continue
+                    part = text[hi - b : hi - a + span]
+                    core = text[hi - block : hi - block - size + 1 + span] if block <= hi else b""
+                    digest = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True) for x in (part, core)]
+                    rows.append((doc, h, g, start + hi - b, a, b, level - 1, block, part, *digest))
+            cols = list(zip(*rows, strict=True)) or [()] * 11
+            types = [pa.int64()] * 8 + [pa.binary()] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "h", "g", "start", "lo", "hi", "level", "block", "bytes", "full", "core"])
 
     return run
 
@@ -280,18 +297,18 @@ def _refined(large: DataFrame, keep_first: bool, span: int) -> DataFrame | None:
     out = None
     rows = large.select(*KEY, "g", "start", (F.expr("shiftright(shape, 8)") - F.expr("shape & 255")).alias("lo"), F.expr("shiftright(shape, 8)").alias("hi"), "bytes").withColumn("level", F.lit(8).cast("long"))
     for _ in range(8):
-        half = materialize(rows.mapInArrow(_halves(span), "doc_id long, h long, g long, start long, lo long, hi long, level long, bytes binary, digest binary"))
-        same = ["g", "lo", "hi", "level", "digest"]
+        half = materialize(rows.mapInArrow(_halves(span), "doc_id long, h long, g long, start long, lo long, hi long, level long, block long, bytes binary, full long, core long"))
+        same, cores = ["g", "lo", "hi", "full"], ["g", "block", "core"]
         counted = half.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "start")).alias("least"))
-        half = half.join(counted, same)
+        shared = half.groupBy(*cores).agg(F.count("*").alias("m")).filter("m > 1").select(*cores)
+        half = materialize(half.join(counted, same))
         whole = half.filter("n > 1")
         if keep_first:
             whole = whole.filter("not (struct(doc_id, h, start) <=> least)")
-        ranges = materialize(whole.select(*KEY, F.col("start").alias("first"), (F.col("start") + F.col("hi") - F.col("lo") + span).alias("end")))
+        ranges = whole.select(*KEY, F.col("start").alias("first"), (F.col("start") + F.col("hi") - F.col("lo") + span).alias("end"))
         out = ranges if out is None else out.unionByName(ranges)
         # one of each kind goes on: what occurs once may share parts with others, and those with what occurs twice
-        rows = half.filter("struct(doc_id, h, start) <=> least").drop("n", "least", "digest")
-        rows = materialize(rows)
+        rows = materialize(half.filter("struct(doc_id, h, start) <=> least").drop("n", "least").join(shared, cores, "left_semi"))
         if rows.isEmpty():
             break
     return out
@@ -302,20 +319,24 @@ def repeated_ranges(docs: DataFrame, keep_first: bool = False, span: int = SPAN,
 
     keep_first: only strings that also start earlier, in order of (doc_id, h, position); ranges may overlap.
     """
-    scan = docs.mapInArrow(_scan(span, gram), "doc_id long, h long, g long, seg long, start long, shape long")
-    twice = scan.select("g").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    scan = docs.mapInArrow(_scan(span, gram), "doc_id long, h long, g long, seg long, left long, right long, start long, shape long")
+    twice = docs.select("text").mapInArrow(_anchors(span, gram), "g long").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
     found = materialize(scan.join(twice, "g"))
     same = ["g", "seg", "shape"]
     least = F.min(F.struct(*KEY, "start")) if keep_first else F.first(F.struct(*KEY, "start"))
-    classes = materialize(found.groupBy(*same).agg(F.count("*").alias("n"), least.alias("one")))
-    whole = found.join(classes.filter("n > 1"), same)
+    classes = materialize(found.groupBy(*same).agg(F.count("*").alias("n"), least.alias("one"), F.first("left").alias("left"), F.first("right").alias("right")))
+    whole = found.join(classes.filter("n > 1").select(*same, "one"), same)
     if keep_first:
         whole = whole.filter("not (struct(doc_id, h, start) <=> one)")
     out = materialize(whole.select(*KEY, F.col("start").alias("first"), (F.col("start") + F.expr("shape & 255") + span).alias("end")))
     drop(found)
 
-    groups = classes.groupBy("g").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1" if keep_first else "d > 1 and least = 1")
-    want = classes.join(groups, "g").select("one.*", "g", "shape", (F.col("n") == 1).alias("single"), (F.col("d") > GROUP).alias("large"))
+    for side in ("left", "right"):
+        shared = classes.filter(F.col(side) != 0).groupBy("g", side).agg(F.count("*").alias("k")).filter("k > 1").select("g", side, F.lit(True).alias(f"{side}_shared"))
+        classes = classes.join(shared, ["g", side], "left")
+    some = materialize(classes.filter("left_shared or right_shared").select(*same, "n", "one"))
+    groups = some.groupBy("g").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1" if keep_first else "d > 1 and least = 1")
+    want = some.join(groups, "g").select("one.*", "g", "shape", (F.col("n") == 1).alias("single"), (F.col("d") > GROUP).alias("large"))
     want = materialize(want)
     total = want.count()
     if not total:

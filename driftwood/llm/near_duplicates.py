@@ -5,7 +5,7 @@ Plan
 2. Documents of equal sets form a class with its least doc_id as representative; only representatives go on.
 3. In each band bucket every representative is compared with the bucket's least one (never all pairs).
 4. Candidates pass a signature estimate, then are confirmed on their full sets.  Components follow from the links.
-5. Buckets that still hold several components are compared with other members of theirs for ROUNDS rounds, which joins
+5. Buckets that still hold several components are compared with another member of theirs for ROUNDS rounds, which joins
    dense groups.  In a last pass the members of different components of a bucket are compared: in a small bucket as
    pairs whose sizes and low bits of the minima allow the similarity; the members of large buckets are
    clustered, and the sets of a cluster meet in blocks, which send their links and no pairs.
@@ -27,9 +27,11 @@ U64 = np.uint64
 #: Representatives of a small bucket, at most; of a block of a cluster.
 BUCKET, BLOCK = 64, 256
 #: Rounds with another head of each bucket before pairs are formed.
-ROUNDS = 3
+ROUNDS = 1
 #: Documents whose sets are fetched by a broadcast of their ids, at most; beyond that the texts are shuffled to the ids.
 SENT = 500_000
+#: Bytes of text that one vectorised step works on.
+STEP = 1 << 18
 
 
 class Minima:
@@ -64,7 +66,7 @@ def _profile(size: int, minima: Minima):
     def run(batches):
         for batch in batches:
             text = batch.column("text")
-            for lo, hi, data, offs in tk.slices(text):
+            for lo, hi, data, offs in tk.slices(text, STEP):
                 h, bounds = tk.shingle_sets(data, offs, size)
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
@@ -94,7 +96,7 @@ def _profile(size: int, minima: Minima):
 def _sets(size: int):
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in tk.slices(batch.column("text")):
+            for lo, hi, data, offs in tk.slices(batch.column("text"), STEP):
                 h, bounds = tk.shingle_sets(data, offs, size)
                 raw = h.tobytes()
                 own = [raw[bounds[i] * 8 : bounds[i + 1] * 8] for i in range(hi - lo)]
@@ -196,9 +198,9 @@ def _block_links(num: int, den: int):
         first = group.block.to_numpy() == key[1]
         x, y = np.flatnonzero(first), np.flatnonzero(~first if key[1] != key[2] else first)
         both = np.zeros((len(x), len(y)), np.float32)
-        for lo in range(0, len(word), 4096):
-            part = slice(*np.searchsorted(at, [lo, lo + 4096]))
-            has = np.zeros((len(sets), 4096), np.float32)
+        for lo in range(0, len(word), 1024):
+            part = slice(*np.searchsorted(at, [lo, lo + 1024]))
+            has = np.zeros((len(sets), 1024), np.float32)
             has[row[part], at[part] - lo] = 1
             both += has[x] @ has[y].T
         both = both.astype(np.int64)

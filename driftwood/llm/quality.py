@@ -145,6 +145,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed
     aside, own = order[: len(y) // 5], order[len(y) // 5 :]
     mean, scale = x[own].mean(0), x[own].std(0) + 1e-6
     z, t = (x[own] - mean) / scale, y[own].astype(float)
+    decay = 1e-4 + 1 / len(t)  # small samples need more of it
     params = [rng.normal(0, z.shape[1] ** -0.5, (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
@@ -154,7 +155,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed
             d = (1 / (1 + np.exp(-np.clip(h @ params[2] + params[3], -40, 40))) - t[part]) / len(part)
             back = np.outer(d, params[2]) * (1 - h * h)
             step += 1
-            for k, g in enumerate((z[part].T @ back + 1e-4 * params[0], back.sum(0), h.T @ d + 1e-4 * params[2], d.sum(keepdims=True))):
+            for k, g in enumerate((z[part].T @ back + decay * params[0], back.sum(0), h.T @ d + decay * params[2], d.sum(keepdims=True))):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 params[k] = params[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)

@@ -215,5 +215,10 @@ def test_pipeline_on_a_small_folder(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i < len(good)), 0) for i in range(len(docs))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    ids = {r.doc_id for r in cp.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
-    assert ids == set(range(60)) | {63} - {60, 61, 62} or ids == set(range(60)) | {63}
+    pieces = cp.run(spark, str(tmp_path))
+    # 60, 61 and 63 are near copies of others, 62 has the benchmark's passage, the rest is bad
+    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(range(60))
+    assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 1024
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns

@@ -42,7 +42,7 @@ def auc(scores: DataFrame, score: str, label: Column, weight: Column | None = No
     """Weighted area under the ROC curve, ties counting half; one row, or one for each group."""
     s = steps(scores, score, label, weight, by)
     below = F.col("cum_neg") - F.col("neg") * 0.5
-    return s.groupBy(*by).agg((F.sum(F.col("pos") * below) / (F.sum("pos") * F.sum("neg"))).alias("auc"), F.sum("pos").alias("w_pos"), F.sum("neg").alias("w_neg"))
+    return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * below), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("w_pos"), F.sum("neg").alias("w_neg"))
 
 
 def partial_auc(scores: DataFrame, score: str, label: Column, max_fpr: float, by: list[str] = ()) -> DataFrame:
@@ -74,7 +74,7 @@ def caught(scores: DataFrame, limits: DataFrame, score: str, label: Column, weig
     above = F.col(score) > F.col("threshold")
     return joined.groupBy(*by, "alpha").agg(
         F.avg(F.when(label, above.cast("double"))).alias("tpr"),
-        (F.sum(F.when(label & above, weight).otherwise(0.0)) / F.sum(F.when(label, weight).otherwise(0.0))).alias("tpr_w"),
+        F.try_divide(F.sum(F.when(label & above, weight).otherwise(0.0)), F.sum(F.when(label, weight).otherwise(0.0))).alias("tpr_w"),
         F.avg(F.when(~label, above.cast("double"))).alias("fpr"),
     )
 

@@ -32,8 +32,8 @@ U64 = np.uint64
 SPAN, GRAM = 200, 32
 #: Distinct segments of one anchor that are gathered in one task, at most.
 GROUP = 512
-#: Bytes of one suffix array, about; bytes of one scan step; rows of segments that are sent to all executors, at most.
-POOL, STEP, SENT = 1 << 18, 1 << 19, 300_000
+#: Bytes of one suffix array, about; bytes of one scan step.
+POOL, STEP = 1 << 18, 1 << 19
 KEY = ["doc_id", "h"]
 
 
@@ -338,12 +338,10 @@ def repeated_ranges(docs: DataFrame, keep_first: bool = False, span: int = SPAN,
     groups = some.groupBy("g").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1" if keep_first else "d > 1 and least = 1")
     want = some.join(groups, "g").select("one.*", "g", "shape", (F.col("n") == 1).alias("single"), (F.col("d") > GROUP).alias("large"))
     want = materialize(want)
-    total = want.count()
-    if not total:
+    if want.isEmpty():
         return out
     by_doc = want.groupBy(*KEY).agg(F.collect_list(F.struct("g", "start", "shape", "single", "large")).alias("want"))
     by_doc = by_doc.withColumnsRenamed({"doc_id": "i", "h": "j"})
-    by_doc = F.broadcast(by_doc) if total <= SENT else by_doc
     cut = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j"))).select(*KEY, "text", "want")
     cut = materialize(cut.mapInArrow(_cut(span), "doc_id long, h long, g long, start long, shape long, single boolean, large boolean, bytes binary"))
     small = cut.filter("not large").repartition("g").sortWithinPartitions("g")

@@ -42,10 +42,39 @@ def _sketches(size: int, shortest: int):
     return run
 
 
+def copy_classes(texts: DataFrame, shortest: int = 500) -> DataFrame:
+    """(id, rep, copies) of every text of at least shortest characters: the least id of its equals, and how many they are."""
+    long = texts.filter(F.length("text") >= shortest).select("id", F.md5("text").alias("m"))
+    return long.join(long.groupBy("m").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "m").select("id", "rep", "copies")
+
+
+def with_copies(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, jaccard) with a < b between all texts: pairs of representatives dealt to their copies, and equal texts at 1."""
+    side = lambda rep, name: classes.select(F.col("rep").alias(rep), F.col("id").alias(name))
+    apart = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    many = classes.filter("copies > 1")
+    equal = many.select("rep", F.col("id").alias("a")).join(many.select("rep", F.col("id").alias("b")), "rep").filter("a < b")
+    return apart.unionByName(equal.select("a", "b", F.lit(1.0).alias("jaccard")))
+
+
+def flagged_twins(flags: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, near_flag) of every text that has a near or exact copy: whether any of them has its flag; flags(id, flag).
+
+    Flags are counted for each class, so classes are never dealt out into pairs.
+    """
+    own = classes.join(flags, "id")
+    counts = own.groupBy("rep").agg(F.count_if("flag").alias("n"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    near = both.join(counts.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.bool_or(F.col("n") > 0).alias("near"))
+    seen = own.join(counts.join(near, "rep", "left"), "rep").filter((F.col("copies") > 1) | F.col("near").isNotNull())
+    others = F.col("n") - F.coalesce(F.col("flag"), F.lit(False)).cast("int") > 0
+    return seen.select("id", (others | F.coalesce("near", F.lit(False))).alias("near_flag"))
+
+
 def near_duplicate_pairs(texts: DataFrame, least: float, size: int = 9, shortest: int = 500) -> DataFrame:
     """(a, b, jaccard) with a < b: Jaccard similarity of the distinct character shingles of texts(id, text) of at least shortest characters.
 
-    Equal texts meet as one representative.  Candidates agree in a band of minimum hashes; the similarity is that of the
+    Equal texts meet as one representative, the least id; copy_classes has the others.  Candidates agree in a band of minimum hashes; the similarity is that of the
     whole sets (as 64-bit hashes).
     """
     long = texts.filter(F.length("text") >= shortest)

@@ -68,7 +68,9 @@ def texts(spark, d):
 
 @query()
 def join_near_duplicates(spark, d):
-    return fam.near_duplicate_pairs(texts(spark, d), 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """All pairs, those of exact copies among them."""
+    t = texts(spark, d)
+    return fam.with_copies(fam.near_duplicate_pairs(t, 0.8), fam.copy_classes(t)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("""WITH RECURSIVE f AS (SELECT doc_id AS id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9+/=]{200,}', '<BLOB>', 'g'), '\\s+', '', 'g')) AS fp FROM documents),
@@ -107,11 +109,10 @@ def graph_component_sensitivity(spark, d):
 
 @query()
 def relation_twin_contingency(spark, d):
-    """Caught and missed positives by whether a near copy of theirs is flagged."""
-    pairs = fam.near_duplicate_pairs(texts(spark, d), 0.7)
+    """Caught and missed positives by whether a near or exact copy of theirs is flagged."""
+    t = texts(spark, d)
     lab = table(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("label"))
-    scores = texts(spark, d).select("id", (F.length("text") > 2000).alias("caught"))
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    near = both.join(scores.select(F.col("id").alias("b"), F.col("caught").alias("near_caught")), "b").groupBy(F.col("a").alias("id")).agg(F.bool_or("near_caught").alias("near_caught"))
+    scores = t.select("id", (F.length("text") > 2000).alias("caught"))
+    near = fam.flagged_twins(scores.withColumnRenamed("caught", "flag"), fam.near_duplicate_pairs(t, 0.7), fam.copy_classes(t)).withColumnRenamed("near_flag", "near_caught")
     rows = lab.join(scores, "id").join(near, "id", "left").withColumn("twin", F.col("near_caught").isNotNull()).na.fill(False)
     return rows.groupBy("label", "caught", "twin").agg(F.count("*").alias("n"), F.count_if("near_caught").alias("flagged_twin"))

@@ -167,3 +167,26 @@ def test_ingest_resumes(spark, tmp_path):
         spark.createDataFrame([(i, f"v{i}") for i in batch], "k long, v string").coalesce(1).write.mode("append").parquet(src)
         ingest(spark, spark.readStream.schema("k long, v string").parquet(src), "k", out, ck).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_copies_are_twins_and_share_their_neighbours(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = " ".join(word() for _ in range(120))
+    other = " ".join(word() for _ in range(120))
+    rows = [(5, base), (1, base), (9, base + " tail"), (3, base + " tail"), (7, other), (2, other), (4, " ".join(word() for _ in range(120)))]
+    t = spark.createDataFrame(rows, "id long, text string")
+    pairs, classes = families.near_duplicate_pairs(t, 0.7), families.copy_classes(t)
+    cut = {i: {x[k : k + 9] for k in range(len(x) - 8)} for i, x in rows}
+    alike = lambda a, b: len(cut[a] & cut[b]) / len(cut[a] | cut[b])
+    truth = {(a, b): alike(a, b) for a in cut for b in cut if a < b and alike(a, b) >= 0.7}
+    got = families.with_copies(pairs, classes).collect()
+    assert len(got) == len(truth) and all(abs(truth[p.a, p.b] - p.jaccard) < 1e-12 for p in got)
+    for flagged in ({7}, {3}, {5, 4}, {1, 2, 7}):
+        flags = spark.createDataFrame([(i, i in flagged) for i in cut], "id long, flag boolean")
+        near = {r.id: r.near_flag for r in families.flagged_twins(flags, pairs, classes).collect()}
+        want = {}
+        for a, b in truth:
+            want[a] = want.get(a, False) or b in flagged
+            want[b] = want.get(b, False) or a in flagged
+        assert near == want

@@ -190,3 +190,15 @@ def test_copies_are_twins_and_share_their_neighbours(spark):
             want[a] = want.get(a, False) or b in flagged
             want[b] = want.get(b, False) or a in flagged
         assert near == want
+
+
+def test_pairs_just_at_the_threshold_are_all_found(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for k in range(400):
+        base = text(600)
+        rows += [(2 * k, base), (2 * k + 1, base[: 496 + k % 8] + text(104 - k % 8))]  # 488 of 696 shingles and more
+    pairs = families.near_duplicate_pairs(spark.createDataFrame(rows, "id long, text string"), 0.7).collect()
+    assert {(p.a, p.b) for p in pairs} == {(2 * k, 2 * k + 1) for k in range(400)}
+    assert all((1 - t**families.BAND) ** families.bands(t) <= 1e-6 for t in (0.5, 0.7, 0.8, 0.9))

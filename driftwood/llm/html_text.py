@@ -19,6 +19,8 @@ from driftwood.llm.common import table, tune
 
 #: Text of these is never shown.
 SKIPPED = frozenset("script style noscript template textarea select option svg math iframe object canvas title button datalist audio video".split())
+#: Of these, those that go on to the end of the page if they are never closed, and that a slash doesn't close.
+RAW = frozenset("script style".split())
 CONTAINERS = frozenset("html body head nav header footer aside form article main section div ul ol dl table tbody thead tr td th blockquote figure details fieldset dialog menu search address".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr figcaption caption legend summary center optgroup".split())
 BOILER_TAGS = frozenset("head nav header footer aside form menu dialog search".split())
@@ -32,10 +34,12 @@ BOILER_NAMES = frozenset(
 CONTENT_NAMES = frozenset("article content post entry story main body text".split())
 
 TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(" + "|".join(sorted(SKIPPED)) + r")\b(?>\"[^\"]*\"|'[^']*'|[^'\">])*+>(?:.*?</\1\s*>|.*\Z)"
-    r"|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>\"[^\"]*\"|'[^']*'|[^'\">]|['\"])*?)(/?)>|[^<]+|<",
+    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>\"[^\"]*\"|'[^']*'|[^'\">]|['\"])*?)(/?)>|[^<]+|<",
     re.S | re.I,
 )
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
+#: A slash behind such a value belongs to it and doesn't close the element.
+UNQUOTED = re.compile(r"""=\s*[^\s"']+\Z""")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true""", re.I)
 
@@ -81,8 +85,11 @@ def blocks(page: str) -> list[Block]:
         linked.clear()
         own, heading = (0, 0), 0
 
-    for token in TOKEN.finditer(page):
-        name = token[3]
+    unclosed: set[str] = set()  # skipped elements without a closing tag from here on
+    at = 0
+    while token := TOKEN.match(page, at):
+        at = token.end()
+        name = token[2]
         if name is None:
             raw = token[0]
             if raw[0] != "<" or raw == "<":
@@ -91,23 +98,32 @@ def blocks(page: str) -> list[Block]:
                     linked.append(raw)
             continue
         name = name.lower()
-        if name == "a":
-            in_link = 0 if token[2] else 1
+        if name in SKIPPED:
+            if token[1] or (name not in RAW and (name in unclosed or (token[4] and not UNQUOTED.search(token[3])))):
+                continue
+            if close := CLOSING[name].search(page, at):
+                at = close.end()
+            elif name in RAW:
+                at = len(page)
+            else:
+                unclosed.add(name)
+        elif name == "a":
+            in_link = 0 if token[1] else 1
         elif name == "br":
             pieces.append(" ")
         elif name in BLOCKS:
             end()
             if name in CONTAINERS:
-                if token[2]:
+                if token[1]:
                     if any(x[0] == name for x in stack):
                         while stack.pop()[0] != name:
                             pass
-                elif not token[5]:
+                elif not token[4]:
                     if name == "body":
                         stack[:] = [x for x in stack if x[0] != "head"]
-                    stack.append((name, *_marks(name, token[4])))
-            elif not token[2]:
-                own = _marks(name, token[4])
+                    stack.append((name, *_marks(name, token[3])))
+            elif not token[1]:
+                own = _marks(name, token[3])
                 heading = int(len(name) == 2 and name[0] == "h" and name[1].isdigit())
     end()
     return out

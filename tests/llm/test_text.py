@@ -222,3 +222,14 @@ def test_pipeline_on_a_small_folder(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_self_closed_and_unclosed_elements_end_at_their_tag():
+    seen = lambda page: [b.text for b in ht.blocks(page)]
+    for tag in ('<svg class="i"/>', "<math/>", "<object/>", "<canvas />", "<audio/>", "<iframe src='x'/>", "<svg>", "<video-js></video-js>"):
+        assert seen(f"<p>One</p>{tag}<p>Three</p>") == ["One", "Three"]
+    for hidden in ("<svg><p>Two</p></svg>", "<iframe src=http://x/><p>Two</p></iframe>", "<script/><p>Two</p></script>", "<STYLE>p{}</style >", "<svg/><svg><text>Two</text></svg>"):
+        assert seen(f"<p>One</p>{hidden}<p>Three</p>") == ["One", "Three"]
+    for rest in ("<script>Two", "<style a='>'>Two", "<!-- Two"):
+        assert seen(f"<p>One</p>{rest}<p>Three</p>") == ["One"]
+    assert len(seen("<p>One</p>" + "<option>x" * 20_000)) == 2

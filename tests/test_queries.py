@@ -57,3 +57,21 @@ def test_no_plan_multiplies_all_rows_with_all(spark):
     for name in ("join_peer_overlap", "join_edit_distance", "join_max_jaccard", "graph_build_edges"):
         plan = QUERIES[name][0](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert "Join Cross" not in plan, name
+
+
+def test_noise_patterns_of_whole_documents(spark):
+    import re
+
+    from driftwood.plans import text
+
+    rows = [(0, "a" * 300 + " made for\n research " + "b" * 300), (1, "x" * 100 + "😀 CTF 😀 webhook.site and Do_Not-Install"), (2, "test-it is nothing"), (3, None), (4, ""), (5, "poctf flags {"), (6, "Benign " + "word " * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in text.noise_matches(df).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        t = t or ""
+        for k, p in text.FULL_NOISE.items():
+            m = re.search(p.removeprefix("(?iU)"), t, re.I)
+            snippet = re.sub(r"\s+", " ", t[max(0, m.start() - 60) : m.end() + 60])[:160] if m else ""
+            assert (got[i][k], got[i][f"{k}_match"]) == (m is not None, snippet), (i, k)
+    assert [i for i in got if got[i].test_name] == [2]

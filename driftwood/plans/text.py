@@ -69,6 +69,28 @@ def feat_fingerprint(spark, d):
     return docs(spark, d).select("doc_id", fn.fingerprint(F.col("text")).alias("fingerprint"))
 
 
+def document_shingles(df, size: int = 9, shortest: int = 500):
+    """(doc_id, n, least): number and least of the distinct shingles of each whole text, null for shorter texts."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            n, least = [], []
+            for text in b.column("text").to_pylist():
+                found = {text[i : i + size] for i in range(len(text) - size + 1)} if text is not None and len(text) >= max(shortest, size) else None
+                n.append(found and len(found))
+                least.append(found and min(found))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(least, pa.string())], ["doc_id", "n", "least"])
+
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, least string")
+
+
+@query()
+def feat_document_shingles(spark, d):
+    """The shingles of the documents (feat_shingles has those of URLs, which its SQL fixes)."""
+    return document_shingles(docs(spark, d))
+
+
 @query("""WITH s AS (SELECT page_id, url AS t FROM pages) SELECT page_id, len(list_distinct([substr(t, i, 9) for i in range(1, length(t) - 7)])) AS n, list_min([substr(t, i, 9) for i in range(1, length(t) - 7)]) AS least FROM s""")
 def feat_shingles(spark, d):
     s = fn.shingles(F.col("url"))

@@ -75,3 +75,14 @@ def test_noise_patterns_of_whole_documents(spark):
             snippet = re.sub(r"\s+", " ", t[max(0, m.start() - 60) : m.end() + 60])[:160] if m else ""
             assert (got[i][k], got[i][f"{k}_match"]) == (m is not None, snippet), (i, k)
     assert [i for i in got if got[i].test_name] == [2]
+
+
+def test_shingles_of_whole_documents(spark):
+    from driftwood.plans import text
+
+    rows = [(0, "abcdefghi" * 60), (1, None), (2, ""), (3, "x" * 499), (4, "é" + "word😀 " * 200 + "the end"), (5, "y" * 500)]
+    got = {r.doc_id: r for r in text.document_shingles(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        cut = {t[k : k + 9] for k in range(len(t) - 8)} if t and len(t) >= 500 else None
+        assert (got[i].n, got[i].least) == ((len(cut), min(cut)) if cut else (None, None))

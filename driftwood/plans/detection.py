@@ -153,6 +153,41 @@ def loss_triplet_value(spark, d):
     return t.agg(F.round(F.avg(F.greatest(F.lit(0.0), dist("a", "p") - dist("a", "n") + 0.5)), 6).alias("loss"))
 
 
+def batch_losses(rows):
+    """(batch, infonce) of every batch of 32 consecutive rows(id, x) in the order of ids, as loss_infonce_value has of one.
+
+    Rows without a view (a last odd one) are others' negatives only.
+    """
+    at = ranking.running_totals(rows.select("id", "x"), "id", {"_n": F.lit(1)}).select("x", (F.col("_n") - 1).alias("k")).withColumn("batch", F.floor(F.col("k") / 32))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
+    pairs = at.select("batch", F.col("k").alias("i"), F.col("x").alias("xi")).join(at.select("batch", F.col("k").alias("j"), F.col("x").alias("xj")), "batch")  # 32 partners a row
+    s = pairs.filter("i <> j").select("batch", "i", "j", (dot("xi", "xj") / F.sqrt(dot("xi", "xi") * dot("xj", "xj")) / 0.5).alias("s"))
+    view = F.when(F.col("i") % 2 == 0, F.col("i") + 1).otherwise(F.col("i") - 1)
+    own = s.groupBy("batch", "i").agg((F.log(F.sum(F.exp("s"))) - F.max(F.when(F.col("j") == view, F.col("s")))).alias("l"))
+    return own.groupBy("batch").agg(F.avg("l").alias("infonce"))
+
+
+def triplet_losses(rows):
+    """(triplet, loss) of rows 3k, 3k + 1 (positive) and 3k + 2 (negative) of all rows(id, x) in the order of ids."""
+    at = ranking.running_totals(rows.select("id", "x"), "id", {"_n": F.lit(1)}).select("x", (F.col("_n") - 1).alias("k"))
+    role = lambda n: F.max(F.when(F.col("k") % 3 == n, F.col("x")))
+    t = at.groupBy(F.floor(F.col("k") / 3).alias("triplet")).agg(role(0).alias("a"), role(1).alias("p"), role(2).alias("n")).filter("n is not null")
+    dist = lambda p, q: F.sqrt(fn.squared_distance(F.col(p), F.col(q)))
+    return t.select("triplet", F.greatest(F.lit(0.0), dist("a", "p") - dist("a", "n") + 0.5).alias("loss"))
+
+
+@query()
+def loss_infonce_batches(spark, d):
+    """The mean InfoNCE loss of all batches (loss_infonce_value has that of the first, which its SQL fixes)."""
+    return batch_losses(vectors(spark, d)).agg(F.round(F.avg("infonce"), 6).alias("loss"), F.count("infonce").alias("batches"))
+
+
+@query()
+def loss_triplet_all(spark, d):
+    """The mean triplet loss of all rows (loss_triplet_value has that of the first 32)."""
+    return triplet_losses(vectors(spark, d)).agg(F.round(F.avg("loss"), 6).alias("loss"), F.count("*").alias("triplets"))
+
+
 U = "(('0x' || substr(sha256({}), 1, 15))::BIGINT / 1152921504606846976.0)"
 
 

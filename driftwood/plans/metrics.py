@@ -257,6 +257,30 @@ def boot_ci(spark, d):
     return a.agg(F.round(F.percentile("auc", 0.025), 6).alias("lo"), F.round(F.percentile("auc", 0.975), 6).alias("hi"), F.count("*").alias("resamples"))
 
 
+#: Resamples of the reference's configuration.
+ALL_RESAMPLES = 5000
+
+
+def family_auc_ci(scores, resamples):
+    """lo and hi of the resampled AUC, as boot_ci has them.
+
+    Negatives are the same in every resample, so each family's share of the area is computed once and weighted.
+    """
+    s = ranking.running_totals(ranking.steps(scores, "score", F.col("label"), F.col("w")).select("score", "neg"), "score", {"cum": F.col("neg")})
+    total = s.agg(F.sum("neg").alias("all"))
+    below = s.crossJoin(F.broadcast(total)).select("score", ((F.col("cum") - F.col("neg") * 0.5) / F.col("all")).alias("below"))
+    pos = scores.filter("label").join(below, "score").groupBy("family").agg(F.sum(F.col("w") * F.col("below")).alias("area"), F.sum("w").alias("w"))
+    drawn = multiplicities(scores.filter("label").select("family").distinct(), "family", "boot", resamples)
+    a = drawn.join(pos, "family").groupBy("b").agg((F.sum(F.col("times") * F.col("area")) / F.sum(F.col("times") * F.col("w"))).alias("auc"))
+    return a.agg(F.round(F.percentile("auc", 0.025), 6).alias("lo"), F.round(F.percentile("auc", 0.975), 6).alias("hi"), F.count("*").alias("resamples"))
+
+
+@query()
+def boot_ci_5000(spark, d):
+    """boot_ci with the reference's number of resamples, too many for its SQL."""
+    return family_auc_ci(score_rows(spark, d), ALL_RESAMPLES)
+
+
 PAIRED = f"""WITH v AS (SELECT seed, o_custkey, o_orderpriority < '2' AS label, score AS a, (score + {sql_u01("'b' || seed || ':' || o_orderkey")}) / 2 AS b FROM {SEEDS}),
 fam AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM v WHERE label)),
 d1 AS (SELECT r, floor({sql_u01("'pair:' || r || ':' || pos")} * n)::BIGINT AS pick FROM fam, range({BOOT}) t(r)),
@@ -269,22 +293,32 @@ SELECT round(avg(d), 6) AS diff, round(quantile_cont(d, 0.025), 6) AS ci_lo, rou
  round(least(1.0, 2 * least(1 + sum((d <= 0)::INT), 1 + sum((d >= 0)::INT)) / ({BOOT} + 1.0)), 6) AS p FROM diffs"""
 
 
-@query(PAIRED)
-def boot_paired(spark, d):
+def paired_difference(spark, d, resamples):
     """Difference of two scorers' caught shares over shared resamples of families and of seeds."""
     v = seeded_scores(spark, d).withColumns({"label": F.col("o_orderpriority") < "2", "a": F.col("score")})
     v = v.withColumn("b", (F.col("score") + u01(F.concat(F.lit("b"), F.col("seed").cast("string"), F.lit(":"), F.col("o_orderkey").cast("string")))) / 2)
-    families = multiplicities(v.filter("label").select("o_custkey").distinct(), "o_custkey", "pair", BOOT).withColumnsRenamed({"times": "ft", "b": "r"})
-    draws = spark.range(BOOT).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
+    families = multiplicities(v.filter("label").select("o_custkey").distinct(), "o_custkey", "pair", resamples).withColumnsRenamed({"times": "ft", "b": "r"})
+    draws = spark.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
     seeds = draws.select("r", F.floor(u01(F.concat_ws(":", F.lit("seed"), F.col("r").cast("string"), F.col("j").cast("string"))) * 3).alias("seed")).groupBy("r", "seed").agg(F.count("*").alias("st"))
     q = v.filter("not label").groupBy("seed").agg(F.percentile("a", 0.95).alias("qa"), F.percentile("b", 0.95).alias("qb"))
     hit = v.filter("label").join(F.broadcast(q), "seed").groupBy("seed", "o_custkey").agg((F.count_if(F.expr("a > qa")) - F.count_if(F.expr("b > qb"))).alias("more"), F.count("*").alias("n"))
     times = F.col("st") * F.col("ft")
     diffs = hit.join(families, "o_custkey").join(F.broadcast(seeds), ["r", "seed"]).groupBy("r").agg((F.sum(times * F.col("more")) / F.sum(times * F.col("n"))).alias("d"))
-    p = 2 * F.least(1 + F.count_if(F.expr("d <= 0")), 1 + F.count_if(F.expr("d >= 0"))) / (BOOT + 1.0)
+    p = 2 * F.least(1 + F.count_if(F.expr("d <= 0")), 1 + F.count_if(F.expr("d >= 0"))) / (resamples + 1.0)
     return diffs.agg(F.round(F.avg("d"), 6).alias("diff"), F.round(F.percentile("d", 0.025), 6).alias("ci_lo"), F.round(F.percentile("d", 0.975), 6).alias("ci_hi"), F.round(F.least(F.lit(1.0), p), 6).alias("p"))
 
 
+@query(PAIRED)
+def boot_paired(spark, d):
+    return paired_difference(spark, d, BOOT)
+
+
+@query()
+def boot_paired_5000(spark, d):
+    """boot_paired with the reference's number of resamples, too many for its SQL."""
+    return paired_difference(spark, d, ALL_RESAMPLES)
+
+
 @query(f"""WITH v AS (SELECT seed, o_orderpriority, {sql_u01("'v' || seed || o_orderpriority")} AS val FROM {SEEDS} GROUP BY ALL), m AS (SELECT o_orderpriority AS method, avg(val) AS val FROM v GROUP BY 1)
 SELECT method, round(val, 6) AS val FROM m ORDER BY val DESC, method LIMIT 1""")
 def metric_best_of(spark, d):

@@ -86,3 +86,27 @@ def test_shingles_of_whole_documents(spark):
     for i, t in rows:
         cut = {t[k : k + 9] for k in range(len(t) - 8)} if t and len(t) >= 500 else None
         assert (got[i].n, got[i].least) == ((len(cut), min(cut)) if cut else (None, None))
+
+
+def test_losses_of_all_batches_and_bootstraps_of_many_resamples(spark):
+    import numpy as np
+
+    from driftwood.plans import detection, metrics
+
+    x = np.random.default_rng(2).normal(size=(101, 6))
+    df = spark.createDataFrame([(1000 + 3 * i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    truth = []
+    for lo in range(0, len(x), 32):
+        b = x[lo : lo + 32]
+        u = b / np.linalg.norm(b, axis=1, keepdims=True)
+        s = u @ u.T / 0.5
+        truth.append(np.mean([np.log(np.exp(np.delete(s[i], i)).sum()) - s[i, i ^ 1] for i in range(len(b)) if i ^ 1 < len(b)]))
+    got = [r.infonce for r in detection.batch_losses(df).orderBy("batch").collect()]
+    assert np.allclose(got, truth) and len(got) == 4
+    far = lambda p, q: np.linalg.norm(x[p] - x[q])
+    got = [r.loss for r in detection.triplet_losses(df).orderBy("triplet").collect()]
+    assert np.allclose(got, [max(0.0, far(k, k + 1) - far(k, k + 2) + 0.5) for k in range(0, 99, 3)])
+    few = QUERIES["boot_ci"][0](spark, DATA).first()
+    same = metrics.family_auc_ci(metrics.score_rows(spark, DATA), metrics.BOOT).first()
+    assert rows(few.__fields__, [few]) == rows(same.__fields__, [same])
+    assert QUERIES["boot_ci_5000"][0](spark, DATA).first().resamples == 5000

@@ -123,7 +123,7 @@ def _back(links: np.ndarray, vectors: np.ndarray, lo: int, hi: int, most: int) -
     new = links[lo:hi]
     src, dst = np.repeat(np.arange(lo, hi), new.shape[1]), new.ravel().astype(np.int64)
     src, dst = src[dst >= 0], dst[dst >= 0]
-    order = np.argsort(dst, kind="stable")
+    order = np.lexsort((-np.einsum("kd,kd->k", vectors[src], vectors[dst]), dst))  # where there are too many, the nearest count
     src, dst = src[order], dst[order]
     nodes, first, count = np.unique(dst, return_index=True, return_counts=True)
     for part in np.array_split(np.arange(len(nodes)), max(1, len(nodes) // 512)):
@@ -179,18 +179,29 @@ class Graph:
             todo, width = np.array(full, np.int64), 2 * width
         return out
 
-    def audited_width(self, queries: np.ndarray, least: float) -> int:
-        """The beam, doubled from FIRST_BEAM on, at which a sample finds RECALL of its links and nearest rows."""
-        some = queries[np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)]
-        truth = some @ self.vectors.T
-        nearest = truth.argmax(1)
-        wanted = [set(np.flatnonzero(t >= least)) | {n} for t, n in zip(truth, nearest, strict=True)]
+    def audited_width(self, queries: np.ndarray, least: float, own: np.ndarray | None = None) -> int:
+        """The beam, doubled from FIRST_BEAM on, at which samples find RECALL of their links and of their nearest rows.
+
+        Recall is the mean over queries, so that a query of many links counts once; those with few links, whose beams
+        never fill, are a sample of their own.  own: the row of each query itself, which isn't looked for, or -1.
+        """
+        pool = np.linspace(0, len(queries) - 1, min(4 * AUDIT, len(queries))).astype(int)
+        truth = queries[pool] @ self.vectors.T
+        if own is not None:
+            here = np.flatnonzero(own[pool] >= 0)
+            truth[here, own[pool[here]]] = -np.inf
+        counts = (truth >= least).sum(1)
+        any_, few = np.arange(len(pool))[:: max(1, len(pool) // AUDIT)][:AUDIT], np.flatnonzero((counts > 0) & (counts < FIRST_BEAM))[:AUDIT]
+        at, inverse = np.unique(np.concatenate((any_, few)), return_inverse=True)
+        some, truth, counts = queries[pool[at]], truth[at], counts[at]
+        wanted, nearest = [set(np.flatnonzero(t >= least).tolist()) for t in truth], truth.argmax(1)
+        linked_any, linked_few = (part[counts[part] > 0] for part in (inverse[: len(any_)], inverse[len(any_) :]))
         width = FIRST_BEAM
         while width < len(self.vectors):
-            linked = self.near(some, least, width)
             ids, _ = self.search(some, width)
-            found = sum(len(w & ({*map(int, a)} | {*map(int, b)})) for w, a, b in zip(wanted, linked, ids, strict=True))
-            if found >= RECALL * sum(map(len, wanted)):
+            recall = np.array([len(w.intersection(a.tolist())) / len(w) if w else 1.0 for w, a in zip(wanted, self.near(some, least, width), strict=True)])
+            close = (ids == nearest[:, None]).any(1)
+            if close.mean() >= RECALL and all(recall[part].mean() >= RECALL for part in (linked_any, linked_few) if len(part)):
                 break
             width *= 2
         return width
@@ -252,7 +263,8 @@ def _searched(least: float):
         queries = queries.sort_values("rep")
         own, x = queries.rep.to_numpy(np.int64), _matrix(queries.embedding)
         single = x.astype(np.float32)
-        found = graph.near(single, least - margin, graph.audited_width(single, least - margin))
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)  # ids are sorted
+        found = graph.near(single, least - margin, graph.audited_width(single, least - margin, np.where(ids[at] == own, at, -1)))
         q = np.repeat(np.arange(len(own)), [len(f) for f in found])
         r = np.concatenate(found) if len(found) else np.zeros(0, np.int64)
         ok = np.zeros(len(q), bool)

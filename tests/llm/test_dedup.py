@@ -184,3 +184,36 @@ def test_vectors_match_brute_force(spark):
 
 def test_no_vectors(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_one_dense_group_does_not_decide_the_audit():
+    from driftwood.llm import embeddings as em
+
+    rng = np.random.default_rng(6)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    near = lambda x, by: unit(x + by * unit(rng.normal(size=x.shape)))
+    one = unit(rng.normal(size=(1, 32)))
+    firsts = unit(rng.normal(size=(600, 32)))
+    v = np.concatenate((near(np.repeat(one, 1000, 0), 0.2), firsts, near(firsts, 0.3), unit(rng.normal(size=(800, 32)))))
+    order = rng.permutation(len(v))
+    place = np.argsort(order)
+    v = v[order]
+    graph, own = em.Graph(v), np.arange(len(v))
+    found = graph.near(v, 0.9, graph.audited_width(v, 0.9, own))
+    pairs = [(place[1000 + k], place[1600 + k]) for k in range(600)]
+    pairs = [(a, b) for a, b in pairs if v[a] @ v[b] >= 0.9001]
+    assert len(pairs) > 500 and np.mean([b in found[a] and a in found[b] for a, b in pairs]) >= 0.99
+    hidden = {int(x) for p in pairs for x in p}
+    graph.links[0][np.isin(graph.links[0], list(hidden))] = -1  # nothing leads to the pairs any more
+    assert graph.audited_width(v, 0.9, own) > em.FIRST_BEAM
+
+
+def test_opposite_links_are_chosen_by_similarity():
+    from driftwood.llm import embeddings as em
+
+    angle = np.concatenate(([0.0], np.linspace(1.5, 0.01, 300)))
+    v = np.stack((np.cos(angle), np.sin(angle)), 1).astype(np.float32)
+    links = np.full((301, 48), -1, np.int32)
+    links[1:, 0] = 0
+    em._back(links, v, 1, 301, 48)
+    assert 300 in links[0]

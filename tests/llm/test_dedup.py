@@ -217,3 +217,32 @@ def test_opposite_links_are_chosen_by_similarity():
     links[1:, 0] = 0
     em._back(links, v, 1, 301, 48)
     assert 300 in links[0]
+
+
+def test_dense_group_and_shared_ids_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1600, 24))
+    x[:1000] = x[0] + 0.1 * rng.normal(size=(1000, 24))  # 1000 near-equal vectors
+    x[1000:1003] = x[1003] + 0.02 * rng.normal(size=(3, 24))
+    ids = list(range(1600))
+    ids[1599] = 1001  # another vector under an id of a linked one
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    out = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=3).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.vec_id, []).append(r)
+    n = sum(r.n_links for r in out)
+    assert len(out) == 1600 and 0.999 * link.sum() <= n <= link.sum()
+    assert {got[i][0].component_id for i in range(1000)} == {0} and {got[i][0].component_id for i in (1000, 1002, 1003)} == {1000}
+    assert sorted(r.n_links for r in got[1001]) == sorted([link[1001].sum(), link[1599].sum()])
+    assert sorted(r.component_id for r in got[1001]) == [1000, 1001]
+    assert all(r.audited_recall >= 0.99 for r in out)
+
+
+def test_extreme_lengths_of_vectors(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1e-300, 1e-300]), (3, [1.0, 1.0]), (4, [1.0, -1.0]), (5, [-1.0, -1.0]), (6, [1.0])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}

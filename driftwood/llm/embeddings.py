@@ -164,6 +164,38 @@ def layer(vectors: np.ndarray, neighbours: int = NEIGHBOURS, width: int = BEAM,
             links[lo:hi, :neighbours] = _diverse(vectors[lo:hi], ids, sims, vectors, neighbours)
         _back(links, vectors, done, end, most)
         done = end
+    return _reachable(links, vectors)
+
+
+def _reachable(links: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """links, with columns added where nodes that no path from node 0 leads to are hung below the nodes they link to themselves."""
+    n = len(links)
+    while n:
+        seen = np.zeros(n + 1, bool)  # the last entry stands for no node
+        front = np.zeros(1, np.int64)
+        while len(front):
+            seen[front] = True
+            front = np.unique(links[front])
+            front = front[(front >= 0) & ~seen[front]]
+        lost = np.flatnonzero(~seen[:n])
+        if not len(lost):
+            break
+        to = links[lost].astype(np.int64)
+        ok = (to >= 0) & seen[to]
+        near = ok.any(1)
+        if near.any():
+            child, to, ok = lost[near], to[near], ok[near]
+            kth = np.arange(len(child)) % np.minimum(ok.sum(1), 4)  # spread over the first few, so that few columns are needed
+            host = to[np.arange(len(child)), (np.cumsum(ok, 1) <= kth[:, None]).sum(1)]
+        else:  # whole parts without a link to the rest
+            child, rest = lost[:LOCKSTEP], np.flatnonzero(seen[:n])
+            host = rest[(vectors[child] @ vectors[rest].T).argmax(1)]
+        order = np.argsort(host, kind="stable")
+        child, host = child[order], host[order]
+        place = np.arange(len(host)) - np.searchsorted(host, host)
+        more = np.full((n, int(place.max()) + 1), -1, links.dtype)
+        more[host, place] = child
+        links = np.hstack((links, more))
     return links
 
 

@@ -2,13 +2,16 @@
 
 Plan
 1. One pass over the texts gives each document its set size, a 128-bit set fingerprint, its minima and band keys.
-2. Documents of equal sets form a class with its least doc_id as representative; only representatives go on.
-3. In each band bucket every representative is compared with the bucket's least one (never all pairs).
-4. Candidates pass a signature estimate, then are confirmed on their full sets.  Components follow from the links.
+2. Documents of equal sets form a class, which is numbered; only one row of a class goes on.  A doc_id says nothing
+   about a class: repeated ids with different texts are in different ones.
+3. The sets of all classes that share a band bucket are fetched once, by a shuffle of the texts to their ids.
+4. In each band bucket every class is compared with the bucket's least one (never all pairs).  Candidates pass a
+   signature estimate, then are confirmed on their full sets.  Components follow from the links.
 5. Buckets that still hold several components are compared with another member of theirs for ROUNDS rounds, which joins
    dense groups.  In a last pass the members of different components of a bucket are compared: in a small bucket as
    pairs whose sizes and low bits of the minima allow the similarity; the members of large buckets are
-   clustered, and the sets of a cluster meet in blocks, which send their links and no pairs.
+   clustered, and the sets of a cluster of sizes that allow the similarity meet in blocks, which send their links and no pairs.
+6. The least doc_id of a component names it.
 """
 
 from __future__ import annotations
@@ -28,8 +31,6 @@ U64 = np.uint64
 BUCKET, BLOCK = 64, 256
 #: Rounds with another head of each bucket before pairs are formed.
 ROUNDS = 1
-#: Documents whose sets are fetched by a broadcast of their ids, at most; beyond that the texts are shuffled to the ids.
-SENT = 500_000
 #: Bytes of text that one vectorised step works on.
 STEP = 1 << 18
 
@@ -60,6 +61,16 @@ class Minima:
         return out
 
 
+def fingerprints(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set of hashes; 0 for an empty one."""
+    out = np.zeros((2, len(bounds) - 1), U64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        out[0, full] = np.add.reduceat(tk.mix(h), bounds[full])
+        out[1, full] = np.add.reduceat(tk.mix(h ^ U64(0xA5A5A5A55A5A5A5A)), bounds[full])
+    return out[0], out[1]
+
+
 def _profile(size: int, minima: Minima):
     width = minima.bands * minima.rows * 4
 
@@ -70,14 +81,12 @@ def _profile(size: int, minima: Minima):
                 h, bounds = tk.shingle_sets(data, offs, size)
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
-                f1, f2 = np.zeros(hi - lo, U64), np.zeros(hi - lo, U64)
+                f1, f2 = fingerprints(h, bounds)
                 bits = np.zeros((2, hi - lo), np.int64)
                 sig = [None] * (hi - lo)
                 keys: list = [None] * (hi - lo)
                 if len(full):
                     at = np.concatenate((bounds[full], bounds[-1:]))
-                    f1[full] = np.add.reduceat(tk.mix(h), at[:-1])
-                    f2[full] = np.add.reduceat(tk.mix(h ^ U64(0xA5A5A5A55A5A5A5A)), at[:-1])
                     minimum = minima.signatures(h, at)
                     low = np.packbits((minimum[:, :128] & 1).astype(bool), axis=1).view(np.int64)
                     bits[0, full], bits[1, full] = low[:, 0], low[:, -1]
@@ -100,7 +109,8 @@ def _sets(size: int):
                 h, bounds = tk.shingle_sets(data, offs, size)
                 raw = h.tobytes()
                 own = [raw[bounds[i] * 8 : bounds[i + 1] * 8] for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(own, pa.binary())], ["doc_id", "hashes"])
+                f1, f2 = fingerprints(h, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(np.diff(bounds), pa.int64()), pa.array(own, pa.binary())], ["f1", "f2", "n_shingles", "hashes"])
 
     return run
 
@@ -137,38 +147,27 @@ def _confirmed(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, size: int, num: int, den: int, hashes: int) -> DataFrame:
-    """The pairs (a, b) of representatives whose sets are similar enough, written to the shared folder."""
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int, hashes: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough, written to the shared folder; sets: id, sig, hashes."""
     spread = (num / den * (1 - num / den) / hashes) ** 0.5
-    sig = profiles.select("doc_id", "sig")
+    sig, full = sets.select("id", "sig"), sets.select("id", "hashes")
     near = (
-        pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+        pairs.join(sig.toDF("a", "sig_a"), "a")
+        .join(sig.toDF("b", "sig_b"), "b")
         .mapInArrow(_resembling(num / den - 6 * spread), "a long, b long")
     )
     near = materialize(near)
     if near.isEmpty():
         return near
-    ends = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    if near.count() <= SENT // 2:
-        ends = F.broadcast(ends)
-    sets = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, hashes binary")
-    sets = materialize(sets.join(profiles.select("doc_id"), "doc_id", "left_semi"))
-    found = (
-        near.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
-        .mapInArrow(_confirmed(num, den), "a long, b long")
-    )
-    found = materialize(found)
+    found = materialize(near.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").mapInArrow(_confirmed(num, den), "a long, b long"))
     drop(near)
-    drop(sets)
     return found
 
 
 def _heads(members: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) of a bucket's head of round k and its members of other components."""
     head = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "comp")).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    return members.join(head, "key").filter("comp <> head.comp").select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
+    return members.join(materialize(head), "key").filter("comp <> head.comp").select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
 
 
 def _between(members: DataFrame, num: int, den: int, bits: int) -> DataFrame:
@@ -188,15 +187,15 @@ def _block_links(num: int, den: int):
     """Links between the members of two blocks of a cluster (or within one), of different components."""
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values(["block", "id"])
+        group = group.drop_duplicates("id").sort_values(["bin", "block", "id"])
         sets = [np.frombuffer(x, U64) for x in group.hashes]
         size, ids, comp = np.array([len(x) for x in sets]), group.id.to_numpy(), group.comp.to_numpy()
         word, at = np.unique(np.concatenate(sets), return_inverse=True)
         row = np.repeat(np.arange(len(sets)), size)
         order = np.argsort(at, kind="stable")
         at, row = at[order], row[order]
-        first = group.block.to_numpy() == key[1]
-        x, y = np.flatnonzero(first), np.flatnonzero(~first if key[1] != key[2] else first)
+        first = (group.bin.to_numpy() == key[1]) & (group.block.to_numpy() == key[2])
+        x, y = np.flatnonzero(first), np.flatnonzero(first if key[1:3] == key[3:5] else ~first)
         both = np.zeros((len(x), len(y)), np.float32)
         for lo in range(0, len(word), 1024):
             part = slice(*np.searchsorted(at, [lo, lo + 1024]))
@@ -211,23 +210,31 @@ def _block_links(num: int, den: int):
     return run
 
 
-def _clustered(members: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _clustered(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between different components of large buckets; members: key, id, comp.
 
     Members that large buckets join, directly or by others, are a cluster, so a document is in one cluster however many
-    buckets it shares, and in as many tasks as the cluster has blocks.
+    buckets it shares.  Its sets are dealt to bins by the logarithm of their size, so that linked ones are in equal or
+    neighbouring bins, and to blocks of a bin; only blocks of such bins meet.
     """
-    heads = members.groupBy("key").agg(F.min("id").alias("head"))
-    cluster = materialize(components(members.join(heads, "key").select(F.col("head").alias("a"), F.col("id").alias("b"))))
-    blocks = cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    heads = materialize(members.groupBy("key").agg(F.min("id").alias("head")))
+    cluster = components(members.join(heads, "key").select(F.col("head").alias("a"), F.col("id").alias("b")))
     comp = members.select("id", "comp").distinct()
-    placed = cluster.join(blocks, "component").join(comp, "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    ids = placed.select(F.col("id").alias("doc_id"))
-    ids = F.broadcast(ids) if cluster.count() <= SENT else ids
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, hashes binary").withColumnRenamed("doc_id", "id"))
-    dealt = placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "hashes")
-    return dealt.groupBy("component", "i", "j").applyInPandas(_block_links(num, den), "a long, b long").distinct()
+    # a little wider than the logarithm asks for, so that rounding parts no pair
+    size = F.floor(F.log(F.octet_length("hashes") / 8) / F.lit(1.0001 * np.log(den / num))).cast("int")
+    placed = materialize(cluster.join(comp, "id").join(sets.select("id", "hashes"), "id").withColumn("bin", size))
+    blocks = materialize(placed.groupBy("component", "bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    above = blocks.select("component", (F.col("bin") - 1).alias("bin"), F.col("blocks").alias("above"))
+    below = blocks.select("component", (F.col("bin") + 1).alias("bin"), F.col("blocks").alias("below"))
+    placed = placed.join(blocks.join(above, ["component", "bin"], "left").join(below, ["component", "bin"], "left"), ["component", "bin"])
+    placed = placed.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    meet = F.expr(
+        "concat(transform(sequence(0, blocks - 1), x -> struct(bin as low, least(block, x) as i, bin as high, greatest(block, x) as j)),"
+        " if(above is null, array(), transform(sequence(0, above - 1), x -> struct(bin as low, block as i, bin + 1 as high, x as j))),"
+        " if(below is null, array(), transform(sequence(0, below - 1), x -> struct(bin - 1 as low, x as i, bin as high, block as j))))"
+    )
+    dealt = placed.withColumn("meet", F.explode(meet)).select("component", "meet.low", "meet.i", "meet.high", "meet.j", "bin", "block", "id", "comp", "hashes")
+    return dealt.groupBy("component", "low", "i", "high", "j").applyInPandas(_block_links(num, den), "a long, b long").distinct()
 
 
 def _members(bucketed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -241,8 +248,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     Words are runs without white space (space, tab to carriage return), A-Z lower-cased; a set holds the distinct
     shingles of size words.  Documents with den * |A and B| >= num * |A or B| are linked.  Null or wordless texts
-    have no set and no link; repeated rows share a component; an empty table gives an empty result.  A row
-    with a null doc_id keeps it and stands alone, undecided (component_id null, kept null).
+    have no set and no link; repeated rows share a component; an empty table gives an empty result.  Rows of one doc_id with
+    different texts are judged each by its own text, and may be in components of different names; a row is kept where its
+    own doc_id names its component.  A row with a null doc_id keeps it and stands alone, undecided (component_id null, kept null).
     A pair at the threshold s is missed with probability (1 - s^rows)^bands: 2e-6 at 0.8 and the defaults.
     """
     spark = docs.sparkSession
@@ -250,38 +258,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     docs = docs.select("doc_id", "text")
     minima = Minima(bands, rows)
     profiles = materialize(docs.mapInArrow(_profile(size, minima), "doc_id long, n_shingles long, f1 long, f2 long, low1 long, low2 long, bands array<long>, sig binary"))
+    print_ = ["f1", "f2", "n_shingles"]
     some = profiles.filter("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    joined = some.join(classes, ["f1", "f2", "n_shingles"])
-    reps = materialize(joined.filter("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "sig", "low1", "low2"))
-
-    keys = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    bucketed = materialize(keys.join(heads.select("key", "head"), "key"))
+    # of equal sets minima and bands are equal too, so any row's will do
+    classes = materialize(some.groupBy(*print_).agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()))
+    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *print_])
+    reps = materialize(reps.select("id", "doc_id", *print_, "bands", "sig", "low1", "low2").dropDuplicates(["id"]))
+
+    keys = reps.select("id", F.explode("bands").alias("key"))
+    heads = materialize(keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head"))
+    bucketed = materialize(keys.join(heads, "key"))
+    beside = materialize(bucketed.select("id").distinct())
+    wanted = reps.select("id", "doc_id", *print_, "sig").join(beside, "id")
+    texts = docs.join(materialize(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(size), "f1 long, f2 long, n_shingles long, hashes binary").groupBy(*print_).agg(F.first("hashes").alias("hashes"))  # rows may be repeated
+    sets = materialize(sets.join(wanted.drop("doc_id"), print_).select("id", "sig", "hashes"))
     tested = materialize(bucketed.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    edges = _links(tested, reps, docs, size, num, den, bands * rows)
-    shape = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "low1", "low2")
+    edges = _links(tested, sets, num, den, bands * rows)
+    shape = reps.select("id", F.col("n_shingles").alias("n"), "low1", "low2")
     for k in range(ROUNDS):
         members = _members(bucketed, edges)
         more = materialize(_heads(members, k).join(tested, ["a", "b"], "left_anti"))
-        found = _links(more, reps, docs, size, num, den, bands * rows)
+        found = _links(more, sets, num, den, bands * rows)
         tested = tested.unionByName(more)
         if found.isEmpty():
             break
         edges = edges.unionByName(found)
     members = _members(bucketed, edges)
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members")
+    mixed = materialize(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members"))
     members = materialize(members.join(mixed, "key"))
     pairs = _between(members.filter(F.col("members") <= BUCKET).join(shape, "id"), num, den, min(128, bands * rows))
     more = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(_links(more, reps, docs, size, num, den, bands * rows))
+    edges = edges.unionByName(_links(more, sets, num, den, bands * rows))
     large = members.filter(F.col("members") > BUCKET)
     if not large.isEmpty():
-        edges = edges.unionByName(_clustered(large, docs, size, num, den))
-    comp = materialize(components(edges))
+        edges = edges.unionByName(_clustered(large, sets, num, den))
+    comp = components(edges)
 
-    by_rep = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("least"))
-    return profiles.select("doc_id", "n_shingles", "f1", "f2").join(by_rep, ["f1", "f2", "n_shingles"], "left").select(
+    known = materialize(classes.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    least = known.groupBy("component").agg(F.min("rep").alias("least"))
+    by_print = materialize(known.join(least, "component").select(*print_, "least"))
+    return profiles.select("doc_id", *print_).join(by_print, print_, "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"),

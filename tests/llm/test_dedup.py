@@ -246,3 +246,21 @@ def test_extreme_lengths_of_vectors(spark):
     rows = [(1, [1e300, 1e300]), (2, [1e-300, 1e-300]), (3, [1.0, 1.0]), (4, [1.0, -1.0]), (5, [-1.0, -1.0]), (6, [1.0])]
     out = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert out == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+
+
+def test_repeated_ids_with_different_texts_keep_their_links(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    a, b = (" ".join(word() for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, b + " z"), (3, a + " y"), (3, a + " y")]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False)]
+
+
+def test_long_chains_are_one_component(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    texts = [" ".join(words[4 * i : 4 * i + 100]) for i in range(60)]  # each like the next, the ends unlike each other
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert [got[i] for i in range(60)] == brute_components(texts, 5, 80, 100)[1] == [0] * 60

@@ -9,46 +9,36 @@ from driftwood.llm.common import drop, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above u goes to the least of u and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-    above = both.filter("dst > src")
-    return above.join(least, "src").filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
+    """Every neighbour above u goes to the least of u and its neighbours; edges point down (src > dst), here and in the result."""
+    least = materialize(edges.groupBy("src").agg(F.min("dst").alias("m")).withColumnRenamed("src", "dst"))
+    return edges.join(least, "dst", "left").select("src", F.coalesce("m", "dst").alias("dst"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour below u, and u itself, go to the least of them; edges point down (src > dst)."""
+    """Every neighbour below u, and u itself, go to the least of them."""
     least = edges.groupBy("src").agg(F.min("dst").alias("m"))
     moved = edges.join(least, "src").filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     return moved.unionByName(least.select("src", F.col("m").alias("dst"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.expr("xxhash64(src, dst) % 1000000007")).alias("h")).first()
-    return row.n, row.h
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has either one edge down or none, and no edge leads to a node with an edge down."""
+    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down = 1 and up = 1").isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): component is the least id reachable; one row per id that has an edge to another.
+    """(id, component): component is the least id reachable; a row for every id that has an edge to a smaller component.
 
-    Hot nodes are pre-aggregated (min per task) and meet their edges in a plain equi-join, which AQE can split.
+    Edges meet the least neighbour of their lower end, which may be a hub, in a join with a written table, which AQE can
+    split; after that step a node has about as many edges down as it had, and a hub has few.
     Each round is written to the shared folder, so a lost executor costs one round at most.
     """
-    spark = edges.sparkSession
-    edges = materialize(
-        edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("src"), F.least(a, b).cast("long").alias("dst")).distinct()
-    )
-    before = _state(edges)
-    if not before[0]:
-        return spark.createDataFrame([], "id long, component long")
-    while True:
-        large = _large_star(edges)
-        after_large = materialize(large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-        new = materialize(_small_star(after_large))
+    edges = materialize(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("src"), F.least(a, b).cast("long").alias("dst")).distinct())
+    while not _are_stars(edges):
+        large = materialize(_large_star(edges))
+        new = materialize(_small_star(large))
         drop(edges)
-        drop(after_large)
-        edges, after = new, _state(new)
-        if after == before:
-            break
-        before = after
+        drop(large)
+        edges = new
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("component"))

@@ -5,10 +5,9 @@ Plan
 2. Documents of equal sets form a class, which is numbered; only one row of a class goes on.  A doc_id says nothing
    about a class: repeated ids with different texts are in different ones.
 3. The sets of all classes that share a band bucket are fetched once, by a shuffle of the texts to their ids.
-4. In each band bucket every class is compared with the bucket's least one (never all pairs).  Candidates pass a
-   signature estimate, then are confirmed on their full sets.  Components follow from the links.
-5. Buckets that still hold several components are compared with another member of theirs for ROUNDS rounds, which joins
-   dense groups.  In a last pass the members of different components of a bucket are compared: in a small bucket as
+4. In each band bucket every class is compared with the bucket's least one and its greatest one (never all pairs), which joins
+   dense groups.  Candidates pass a signature estimate, then are confirmed on their full sets.  Components follow from the links.
+5. In buckets that still hold several components, the members of different ones are compared: in a small bucket as
    pairs whose sizes and low bits of the minima allow the similarity; the members of large buckets are
    clustered, and the sets of a cluster of sizes that allow the similarity meet in blocks, which send their links and no pairs.
 6. The least doc_id of a component names it.
@@ -23,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.llm import textkit as tk
-from driftwood.llm.common import drop, materialize, table, tune
+from driftwood.llm.common import materialize, table, tune
 from driftwood.llm.components import components
 
 U64 = np.uint64
 #: Representatives of a small bucket, at most; of a block of a cluster.
 BUCKET, BLOCK = 64, 256
-#: Rounds with another head of each bucket before pairs are formed.
+#: Heads of a bucket after its least class that all its classes are compared with: none, or its greatest class.
 ROUNDS = 1
 #: Bytes of text that one vectorised step works on.
 STEP = 1 << 18
@@ -156,18 +155,7 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int, hashes: int) -
         .join(sig.toDF("b", "sig_b"), "b")
         .mapInArrow(_resembling(num / den - 6 * spread), "a long, b long")
     )
-    near = materialize(near)
-    if near.isEmpty():
-        return near
-    found = materialize(near.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").mapInArrow(_confirmed(num, den), "a long, b long"))
-    drop(near)
-    return found
-
-
-def _heads(members: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's head of round k and its members of other components."""
-    head = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "comp")).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    return members.join(materialize(head), "key").filter("comp <> head.comp").select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
+    return materialize(near.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").mapInArrow(_confirmed(num, den), "a long, b long"))
 
 
 def _between(members: DataFrame, num: int, den: int, bits: int) -> DataFrame:
@@ -237,10 +225,14 @@ def _clustered(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return dealt.groupBy("component", "low", "i", "high", "j").applyInPandas(_block_links(num, den), "a long, b long").distinct()
 
 
-def _members(bucketed: DataFrame, edges: DataFrame) -> DataFrame:
+def _members(bucketed: DataFrame, comp: DataFrame) -> DataFrame:
     """(key, id, comp) of all buckets with the components of the links so far."""
-    comp = materialize(components(edges)).select("id", F.col("component").alias("comp"))
-    return bucketed.select("key", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    return bucketed.select("key", "id").join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """Components of the stars comp and the new links."""
+    return components(comp.toDF("a", "b").unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, bands: int = 34, rows: int = 5) -> DataFrame:
@@ -266,34 +258,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     reps = materialize(reps.select("id", "doc_id", *print_, "bands", "sig", "low1", "low2").dropDuplicates(["id"]))
 
     keys = reps.select("id", F.explode("bands").alias("key"))
-    heads = materialize(keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head"))
+    heads = materialize(keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last"))
     bucketed = materialize(keys.join(heads, "key"))
-    beside = materialize(bucketed.select("id").distinct())
-    wanted = reps.select("id", "doc_id", *print_, "sig").join(beside, "id")
-    texts = docs.join(materialize(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
+    wanted = materialize(reps.select("id", "doc_id", *print_, "sig").join(bucketed.select("id"), "id", "left_semi"))
+    texts = docs.join(wanted.select("doc_id"), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(size), "f1 long, f2 long, n_shingles long, hashes binary").groupBy(*print_).agg(F.first("hashes").alias("hashes"))  # rows may be repeated
     sets = materialize(sets.join(wanted.drop("doc_id"), print_).select("id", "sig", "hashes"))
-    tested = materialize(bucketed.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    edges = _links(tested, sets, num, den, bands * rows)
+    pair = [F.struct(F.col("head").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("last").alias("b"))][: 1 + ROUNDS]
+    tested = materialize(bucketed.select(F.explode(F.array(*pair)).alias("pair")).select("pair.*").filter("a < b").distinct())
+    comp = components(_links(tested, sets, num, den, bands * rows))
     shape = reps.select("id", F.col("n_shingles").alias("n"), "low1", "low2")
-    for k in range(ROUNDS):
-        members = _members(bucketed, edges)
-        more = materialize(_heads(members, k).join(tested, ["a", "b"], "left_anti"))
-        found = _links(more, sets, num, den, bands * rows)
-        tested = tested.unionByName(more)
-        if found.isEmpty():
-            break
-        edges = edges.unionByName(found)
-    members = _members(bucketed, edges)
+    members = _members(bucketed, comp)
     mixed = materialize(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members"))
     members = materialize(members.join(mixed, "key"))
     pairs = _between(members.filter(F.col("members") <= BUCKET).join(shape, "id"), num, den, min(128, bands * rows))
     more = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(_links(more, sets, num, den, bands * rows))
+    found = _links(more, sets, num, den, bands * rows)
     large = members.filter(F.col("members") > BUCKET)
     if not large.isEmpty():
-        edges = edges.unionByName(_clustered(large, sets, num, den))
-    comp = components(edges)
+        found = found.unionByName(_clustered(large, sets, num, den))
+    comp = _joined(comp, found)
 
     known = materialize(classes.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")))
     least = known.groupBy("component").agg(F.min("rep").alias("least"))

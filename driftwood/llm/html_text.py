@@ -1,14 +1,17 @@
 """Main text of web pages: flat text blocks, judged by a decision tree over their own and their neighbours' shape.
 
-A page is cut at block-level tags.  Each block has its number of words and its link density (share of its
-characters inside links), those of the block before and after, and three marks: inside a container whose tag,
-class, id or role names boilerplate; inside one that names content; a heading.  A small tree is trained on TABLE.
+A page is cut at block-level tags.  Each block has its number of words and its link density (share of its characters
+inside links), those of the block before and after, and three marks: inside a container whose tag, class, id or role
+names boilerplate; inside one that names content; a heading.  A name counts as a whole: words of state (has-sidebar,
+comment-enabled) name nothing, and an element that names content as well isn't boilerplate.  A form or a named container
+around the page's article isn't either.  A small tree is trained on PAGES, labelled blocks of pages of many shapes.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -21,10 +24,16 @@ from driftwood.llm.common import table, tune
 SKIPPED = frozenset("script style noscript template textarea select option svg math iframe object canvas title button datalist audio video".split())
 #: Of these, those that go on to the end of the page if they are never closed, and that a slash doesn't close.
 RAW = frozenset("script style".split())
+#: Of these, those that may be within one of their own.
+NESTED = frozenset("svg math object template noscript".split())
 CONTAINERS = frozenset("html body head nav header footer aside form article main section div ul ol dl table tbody thead tr td th blockquote figure details fieldset dialog menu search address".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr figcaption caption legend summary center optgroup".split())
 BOILER_TAGS = frozenset("head nav header footer aside form menu dialog search".split())
 CONTENT_TAGS = frozenset("article main".split())
+#: Boilerplate of these kinds is so whatever it holds.
+FIRM = frozenset("head nav header footer aside menu search".split())
+#: What a form or dialog around a whole page holds.
+PAGE_PARTS = frozenset("article main h1 nav header footer".split())
 BOILER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs "
     "header masthead topbar footer foot bottombar sidebar aside rail widget widgets related recommended recommendations trending popular comment comments reply replies respond discussion disqus "
@@ -32,12 +41,18 @@ BOILER_NAMES = frozenset(
     "pagination pager skip copyright legal disclaimer hidden".split()
 )
 CONTENT_NAMES = frozenset("article content post entry story main body text".split())
+#: Words of a name that tell a state; such a name says nothing of what the element holds.
+STATE_NAMES = frozenset("has is with without no not enabled disabled open closed active inactive on off below above".split())
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>\"[^\"]*\"|'[^']*'|[^'\">]|['\"])*?)(/?)>|[^<]+|<",
     re.S | re.I,
 )
 CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
+OPENING = {name: re.compile(rf"<{name}(?=[\s/>])", re.I) for name in SKIPPED - RAW}
+#: Tags that no skipped element has inside; a closing tag behind them belongs to another element.
+BARRIER = re.compile(r"<(?:/?(?:article|main|body|nav|footer|header|aside)|h1)(?=[\s/>])", re.I)
+BARRIERS = dict.fromkeys(("button", "option", "title"), re.compile(r"<(?:/?(?:article|main|body|nav|footer|header|aside|section|p|ul|ol|table)|h[1-6])(?=[\s/>])", re.I))
 #: A slash behind such a value belongs to it and doesn't close the element.
 UNQUOTED = re.compile(r"""=\s*[^\s"']+\Z""")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -53,22 +68,74 @@ class Block(NamedTuple):
     heading: int
 
 
-def _marks(tag: str, attributes: str) -> tuple[int, int]:
-    boiler, content = tag in BOILER_TAGS, tag in CONTENT_TAGS
+def _marks(tag: str, attributes: str) -> tuple[int, int, bool]:
+    """Whether an element names boilerplate, whether content, and whether it is boilerplate whatever it holds."""
+    boiler, content, unseen = False, False, False
     if attributes and tag not in ("html", "body"):
         if "=" in attributes:
             for found in NAMED.finditer(attributes):
-                names = re.split(r"[^a-z0-9]+", (found[1] or found[2] or found[3] or "").lower())
-                boiler |= not BOILER_NAMES.isdisjoint(names)
-                content |= not CONTENT_NAMES.isdisjoint(names)
-        boiler |= bool(UNSEEN.search(attributes))
-    return int(boiler), int(content)
+                for name in (found[1] or found[2] or found[3] or "").lower().split():
+                    words = set(re.split(r"[^a-z0-9]+", name))
+                    if not words & STATE_NAMES:
+                        bad = bool(words & BOILER_NAMES)
+                        boiler |= bad
+                        content |= not bad and bool(words & CONTENT_NAMES)
+        unseen = bool(UNSEEN.search(attributes))
+    boiler &= not content
+    content |= tag in CONTENT_TAGS and not boiler
+    return int(boiler or unseen or tag in BOILER_TAGS), int(content), unseen or tag in FIRM
+
+
+class _Page:
+    """The open containers of a page, and what is known of each: linear in the page, however deep it is nested."""
+
+    def __init__(self):
+        self.parent, self.boiler, self.content, self.firm, self.form, self.around, self.main = [-1], [0], [0], [True], [False], [False], [0]
+        self.names, self.open, self.at, self.articles = [""], Counter(), 0, 0
+
+    def enter(self, name: str, marks: tuple[int, int, bool]) -> None:
+        self.parent.append(self.at)
+        self.names.append(name)
+        for column, x in ((self.boiler, marks[0]), (self.content, marks[1]), (self.firm, marks[2]), (self.form, name in ("form", "dialog")), (self.around, False), (self.main, 0)):
+            column.append(x)
+        if marks[1] and name in CONTENT_TAGS:
+            self.articles += name == "article"
+            up = self.at  # what is around an article, up to what is known already
+            while up > 0 and self.main[up] < (2 if name == "main" else 1):
+                self.main[up] = 2 if name == "main" else 1
+                up = self.parent[up]
+        self.at = len(self.parent) - 1
+        self.open[name] += 1
+
+    def part(self) -> None:
+        up = self.at
+        while up > 0 and not self.around[up]:
+            self.around[up] = True
+            up = self.parent[up]
+
+    def leave(self, name: str) -> None:
+        while self.open[name]:
+            last = self.names[self.at]
+            self.open[last] -= 1
+            self.at = self.parent[self.at]
+            if last == name:
+                return
+
+    def marks(self) -> tuple[list[int], list[int]]:
+        """Boilerplate and content, for each container with those around it."""
+        boiler, content = [0] * len(self.parent), [0] * len(self.parent)
+        for k in range(1, len(self.parent)):
+            around = self.form[k] and self.around[k] or self.main[k] == 2 or (self.main[k] == 1 and self.articles == 1)
+            up = self.parent[k]
+            boiler[k] = int(boiler[up] or (self.boiler[k] and (self.firm[k] or not around)))
+            content[k] = int(content[up] or self.content[k])
+        return boiler, content
 
 
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page, in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []
+    found: list[tuple[str, int, float, int, tuple[int, int], int]] = []
+    containers = _Page()
     pieces: list[str] = []
     linked: list[str] = []
     own, heading, in_link = (0, 0), 0, 0
@@ -78,14 +145,20 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
             inside = sum(map(len, " ".join(html.unescape("".join(linked)).split())))
-            boiler = own[0] or any(b for _, b, _ in stack)
-            content = own[1] or any(c for _, _, c in stack)
-            out.append(Block(text, text.count(" ") + 1, min(1.0, inside / len(text)), int(bool(boiler)), int(bool(content)), heading))
+            found.append((text, text.count(" ") + 1, min(1.0, inside / len(text)), containers.at, own, heading))
         pieces.clear()
         linked.clear()
         own, heading = (0, 0), 0
 
-    unclosed: set[str] = set()  # skipped elements without a closing tag from here on
+    ahead: dict = {}
+
+    def following(pattern: re.Pattern) -> int:
+        """Where the next match begins; it is looked for once, however often it is asked for."""
+        if ahead.get(pattern, -1) < at:
+            match = pattern.search(page, at)
+            ahead[pattern] = match.start() if match else len(page) + 1
+        return ahead[pattern]
+
     at = 0
     while token := TOKEN.match(page, at):
         at = token.end()
@@ -98,15 +171,16 @@ def blocks(page: str) -> list[Block]:
                     linked.append(raw)
             continue
         name = name.lower()
+        if name in PAGE_PARTS and not token[1]:
+            containers.part()
         if name in SKIPPED:
-            if token[1] or (name not in RAW and (name in unclosed or (token[4] and not UNQUOTED.search(token[3])))):
+            if token[1] or (name not in RAW and token[4] and not UNQUOTED.search(token[3])):
                 continue
-            if close := CLOSING[name].search(page, at):
-                at = close.end()
-            elif name in RAW:
-                at = len(page)
-            else:
-                unclosed.add(name)
+            close = following(CLOSING[name])
+            if name in RAW:
+                at = CLOSING[name].match(page, close).end() if close < len(page) else len(page)
+            elif close < following(BARRIERS.get(name, BARRIER)) and (name in NESTED or close < following(OPENING[name])):
+                at = CLOSING[name].match(page, close).end()
         elif name == "a":
             in_link = 0 if token[1] else 1
         elif name == "br":
@@ -115,18 +189,17 @@ def blocks(page: str) -> list[Block]:
             end()
             if name in CONTAINERS:
                 if token[1]:
-                    if any(x[0] == name for x in stack):
-                        while stack.pop()[0] != name:
-                            pass
+                    containers.leave(name)
                 elif not token[4]:
                     if name == "body":
-                        stack[:] = [x for x in stack if x[0] != "head"]
-                    stack.append((name, *_marks(name, token[3])))
+                        containers.leave("head")
+                    containers.enter(name, _marks(name, token[3]))
             elif not token[1]:
-                own = _marks(name, token[3])
+                own = _marks(name, token[3])[:2]
                 heading = int(len(name) == 2 and name[0] == "h" and name[1].isdigit())
     end()
-    return out
+    boiler, content = containers.marks()
+    return [Block(text, words, links, int(boiler[k] or own[0]), int(content[k] or own[1]), heading) for text, words, links, k, own, heading in found]
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -137,31 +210,40 @@ def features(found: list[Block]) -> np.ndarray:
     return np.hstack((own, np.vstack((edge, own[:-1])), np.vstack((own[1:], edge)), marks)) if found else np.zeros((0, 9))
 
 
-#: Labelled blocks: the nine features in the order above, then 1 for main text.
-TABLE = np.array([
-    # menus, side bars, adverts, notices, forms, footers and reader comments, long or short, inside an article or not
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 12, 0.0, 1, 0, 0, 0),
-    (8, 0.0, 2, 1.0, 9, 0.0, 1, 0, 0, 0), (25, 0.1, 2, 1.0, 9, 0.0, 1, 0, 0, 0), (60, 0.0, 40, 0.0, 50, 0.0, 1, 0, 0, 0),
-    (40, 0.0, 60, 0.0, 45, 0.0, 1, 1, 0, 0), (6, 0.2, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (3, 0.0, 80, 0.0, 30, 0.0, 1, 1, 1, 0),
-    (15, 0.0, 30, 0.0, 15, 0.0, 1, 1, 0, 0), (90, 0.3, 80, 0.0, 12, 0.0, 1, 0, 0, 0), (4, 0.0, 0, 0.0, 10, 0.0, 1, 0, 1, 0),
-    # unmarked blocks that are links, or short beside links or other short blocks
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (12, 0.9, 5, 1.0, 6, 1.0, 0, 0, 0, 0),
-    (20, 0.8, 40, 0.0, 15, 0.7, 0, 0, 0, 0), (30, 0.6, 3, 1.0, 4, 1.0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (5, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (6, 0.1, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0),
-    (2, 0.0, 3, 0.0, 2, 0.5, 0, 0, 0, 0), (5, 0.0, 4, 0.5, 4, 0.0, 0, 0, 0, 0), (7, 0.5, 30, 0.0, 30, 0.0, 0, 0, 0, 0),
-    (1, 1.0, 0, 0.0, 28, 0.0, 0, 0, 0, 0), (2, 1.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0), (2, 1.0, 60, 0.0, 70, 0.0, 0, 0, 1, 0),
-    (8, 0.9, 90, 0.0, 50, 0.0, 0, 0, 0, 0), (25, 0.7, 60, 0.0, 80, 0.0, 0, 0, 0, 0), (5, 0.8, 20, 0.0, 30, 0.1, 0, 0, 0, 0),
-    # main text inside containers named for it, of any length, with or without links
-    (120, 0.0, 10, 0.0, 80, 0.0, 0, 1, 0, 1), (30, 0.2, 50, 0.0, 40, 0.1, 0, 1, 0, 1), (1, 0.0, 90, 0.0, 70, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (7, 0.0, 8, 0.0, 60, 0.0, 0, 1, 1, 1),
-    (4, 0.0, 1, 1.0, 30, 0.0, 0, 1, 1, 1), (3, 1.0, 60, 0.0, 50, 0.0, 0, 1, 0, 1), (10, 0.9, 30, 0.0, 30, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 40, 0.0, 6, 0.2, 0, 1, 0, 1), (400, 0.05, 3, 0.0, 9, 0.1, 0, 1, 0, 1), (5, 0.0, 6, 0.0, 4, 0.0, 0, 1, 0, 1),
-    # unmarked main text: long with few links, or short between such blocks
-    (50, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1), (90, 0.1, 2, 1.0, 80, 0.0, 0, 0, 0, 1), (25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (18, 0.0, 60, 0.0, 6, 0.2, 0, 0, 0, 1), (14, 0.2, 30, 0.0, 20, 0.0, 0, 0, 0, 1), (200, 0.25, 100, 0.1, 3, 1.0, 0, 0, 0, 1),
-    (4, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1), (6, 0.0, 25, 0.0, 90, 0.0, 0, 0, 0, 1), (6, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1, 1),
-    (5, 0.0, 60, 0.0, 40, 0.0, 0, 0, 1, 1), (3, 0.0, 30, 0.1, 45, 0.0, 0, 0, 0, 1), (16, 0.0, 3, 1.0, 30, 0.0, 0, 0, 0, 1),
-])
+#: Labelled pages, one a line.  A block is + (main text) or -, its words, its link density in tenths where it has any, and its
+#: marks: b inside boilerplate, c inside content, h a heading.
+PAGES = """
+-1.10b -1.10b -1.10b -2.10b -1.10b -8b +7ch +120c +60c +45c +3c -12b
+-1.10b -1.10b -1.10b -1.10b -9b +4ch +30.2c +50c +1c +90c +6c -30.1b
+-1.10b -2.10b -1.10b -1.10b -25.1b +9ch +2c -6b
+-2.10b -1.10b -1.10b -3.10b -15b +8ch +400.05c -15bc +80c +5c +70c -40bc -60bc -45bc -4bch -9b
+-1.10 -1.10 -2.10 -1.10 -1.10 -2.10 +6h +70 +50 +40 -3.10 -4.10 -2.10 -6.1
+-1.10 -1.10 -3.10 -2.10 +5h +90.1 +4 +60 +25 -8.9 -25.7 -12.9 -5
+-2.10 -1.10 -1.10 -4.10 -5 -2.10 +8h +200.2 +100.1 +18 +6h +60 +3 +45 -3.10 -1.10 -1.10 -2.5 -3 -2
+-1.10 -1.10 -1.10 -3 -5 -4 -2.10 -1.10 +7h +35 +30.1 +14.2 +20 -1.10 -1.10 -1.10
+-1.10b -1.10b -1.10b -1.10b -60b -40b -50b +3ch +12c +1c +1c +2c +10.9c +30c +30c -4bh -3.10b -2.10b -90.3b
+-3.10 -1.10 -2.10 -20.8 -15.7 -30.6 -3.10 -4.10 -7.5 +50 +40 +60 -1.10 -1.10
+-1.10b -1.10b -1.10b +16 +30 +5h +60 +40 +4 +50 -2.10b -2.10b -2.10b -6b
+-1.10 -1.10 -1.10 -1.10 +25 -1.10 -2.10 -1.10 -1.10 -4
+-1.10b -1.10b -1.10b -1.10b -1.10b -1.10b -2.10b +6ch +25c +2c +7ch +60c +3.10c +50c +4ch +1c +1c -3b -5.2b -2.10b -1.10b -1.10b
+-2.10b -2.10b -2.10b -1.10b -12.1b +10ch +40.1c +18.3c +22.6c +35c -20b -35b -18b -5.10b -4.10b -8b
++3ch +7c
++120 +80.1 +40
+-1.10 -1.10 -1.10 -5.8 +20 +30.1 +60 -2.10 -60.7 -80.8 -1.10
+"""
+
+
+def _table() -> np.ndarray:
+    """The nine features of the blocks of PAGES, then 1 for main text."""
+    out = []
+    for line in PAGES.split("\n"):
+        found, labels = [], []
+        for label, words, links, marks in re.findall(r"([+-])(\d+)(?:\.(\d+))?([bch]*)", line):
+            density = 1.0 if links == "10" else float(f"0.{links or 0}")
+            found.append(Block("", int(words), density, int("b" in marks), int("c" in marks), int("h" in marks)))
+            labels.append(label == "+")
+        out.append(np.hstack((features(found), np.array(labels, float)[:, None])))
+    return np.vstack(out)
 
 
 class Tree(NamedTuple):
@@ -198,13 +280,20 @@ def train(rows: np.ndarray, depth: int = 6) -> Tree:
     return Tree(c, float(t), train(rows[~up], depth - 1), train(rows[up], depth - 1))
 
 
+#: What the tree learns from.
+TABLE = _table()
+
+
 def main_text(page: str, tree: Tree) -> str:
     found = blocks(page)
     return "\n\n".join(b.text for b, ok in zip(found, tree(features(found)), strict=True) if ok) if found else ""
 
 
 def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of pages(page_id, url, html); null or empty html gives an empty text."""
+    """(page_id, url, text, n_chars) for every row of pages(page_id, url, html).
+
+    Null or empty html gives an empty text; repeated rows are rows; an empty table gives an empty result; other columns are left out.
+    """
     tune(pages.sparkSession)
     tree = tree or train(TABLE)
 

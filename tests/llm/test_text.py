@@ -233,3 +233,42 @@ def test_self_closed_and_unclosed_elements_end_at_their_tag():
     for rest in ("<script>Two", "<style a='>'>Two", "<!-- Two"):
         assert seen(f"<p>One</p>{rest}<p>Three</p>") == ["One"]
     assert len(seen("<p>One</p>" + "<option>x" * 20_000)) == 2
+
+
+P = "A paragraph of some twenty words that goes on for a while, so that it is long enough to be seen as text."
+NAV = "<nav><ul>" + "<li><a href=/a>home</a></li>" * 6 + "</ul></nav>"
+
+
+def test_articles_stay_in_containers_of_odd_names():
+    tree = ht.train(ht.TABLE)
+    assert tree.column == 1  # link density parts the blocks first, names only after it
+    for page in (
+        f'<div class="main comment-enabled"><p>{P}</p><p>{P}</p></div>',
+        f'<div class="content has-sidebar"><p>{P}</p><p>{P}</p></div>',
+        f'<div class="story with-ads"><p>{P}</p><p>{P}</p></div>',
+        f"<article><p>{P}</p><canvas><p>{P}</p></article><canvas></canvas>",
+        f"<article><button><p>{P}</p><p>{P}</p></article><button>x</button>",
+    ):
+        assert ht.main_text(NAV + page, tree) == f"{P}\n\n{P}"
+    assert ht.main_text(f"<form id=all>{NAV}<article><h1>T</h1><p>{P}</p></article><footer>x</footer></form>", tree) == f"T\n\n{P}"
+    assert ht.main_text(f'{NAV}<article><p>{P}</p></article><div class="comments"><article class="comment"><p>{P} No!</p></article></div>', tree) == P
+    deep = "<div>" * 30_000 + f"<p>{P}</p>" + "<button>" * 30_000 + "</button>"
+    assert ht.main_text(deep, tree) == P
+
+
+def test_hand_labelled_pages():
+    """Word F1 over four pages, whose main text is between { and }."""
+    side = "<aside><p>About this site and the people who write for it every day.</p></aside>"
+    pages = [
+        f"<title>x</title>{NAV}<div class=cookie-notice><p>{P} Accept?</p></div><article><header>By me</header>{{<h1>Some title</h1><p>{P}</p><p>Short.</p><ul><li>one</li><li>two</li></ul>}}</article>{side}<footer>&copy; us</footer>",
+        f"<div><a href=/>Home</a> <a href=/b>Blog</a></div><div>{{<h2>Unmarked heading of a post</h2><p>{P}</p><p>{P} <a href=/x>more</a></p><p>Short one.</p><p>{P}</p>}}</div><div><a href=/1>Older posts here</a></div><div>Made by us</div>",
+        f'{NAV}<main class="page">{{<h1>Guide</h1><p>{P}</p><pre>run it now</pre><p>{P}</p>}}<form><p>Name</p><input></form><section id="comments"><p>{P} I agree.</p></section></main>',
+        f'{NAV}<div id="content">{{<p>{P}</p><blockquote>{P}</blockquote>}}<div class="related"><p>Read this other article on our site as well, it is good.</p></div></div><div class="newsletter">{P}</div>',
+    ]
+    tree, right, got, wanted = ht.train(ht.TABLE), 0, 0, 0
+    for page in pages:
+        found = ht.main_text(page.replace("{", "").replace("}", ""), tree).split()
+        truth = re.sub("<[^>]*>", " ", "".join(re.findall(r"\{(.*?)\}", page))).split()
+        right += sum(min(found.count(w), truth.count(w)) for w in set(truth))
+        got, wanted = got + len(found), wanted + len(truth)
+    assert 2 * right / (got + wanted) > 0.97

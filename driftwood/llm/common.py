@@ -71,6 +71,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def unit_hash(c: Column, hex_digits: int = 15) -> Column:
     """The first hex digits of md5 as a non-negative bigint; DuckDB gives the same."""
     return F.conv(F.substring(F.md5(c), 1, hex_digits), 16, 10).cast("bigint")

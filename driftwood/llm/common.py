@@ -59,10 +59,17 @@ def drop(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables of materialize(); only when every result read from them has been written."""
-    while _scratch:
-        _delete(spark, _scratch.pop())
+def scratch() -> list[str]:
+    """Paths of the tables of materialize() that are still there."""
+    return list(_scratch)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these tables of materialize(); only when every result read from them has been written."""
+    for path in paths:
+        if path in _scratch:
+            _scratch.remove(path)
+        _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -94,8 +94,8 @@ def _profile(size: int, minima: Minima):
                         sig[i] = raw[j * width : (j + 1) * width]
                         keys[i] = band[j]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(bits[0]), pa.array(bits[1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                    ["doc_id", "n_shingles", "f1", "f2", "low1", "low2", "bands", "sig"],
+                    [batch.column("doc_id").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(bits[0]), pa.array(bits[1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                    ["doc_id", "text_hash", "n_shingles", "f1", "f2", "low1", "low2", "bands", "sig"],
                 )
 
     return run
@@ -236,7 +236,9 @@ def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, bands: int = 34, rows: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
+    """(doc_id, n_shingles, component_id, text_hash, group_id, kept) for every row of docs(doc_id, text).
+
+    text_hash is xxhash64 of the text; group_id is one number for all rows of a component, and null without a set.
 
     Words are runs without white space (space, tab to carriage return), A-Z lower-cased; a set holds the distinct
     shingles of size words.  Documents with den * |A and B| >= num * |A or B| are linked.  Null or wordless texts
@@ -247,9 +249,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     minima = Minima(bands, rows)
-    profiles = materialize(docs.mapInArrow(_profile(size, minima), "doc_id long, n_shingles long, f1 long, f2 long, low1 long, low2 long, bands array<long>, sig binary"))
+    profiles = materialize(docs.mapInArrow(_profile(size, minima), "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, low1 long, low2 long, bands array<long>, sig binary"))
     print_ = ["f1", "f2", "n_shingles"]
     some = profiles.filter("n_shingles > 0 and doc_id is not null")
     # of equal sets minima and bands are equal too, so any row's will do
@@ -281,11 +283,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     known = materialize(classes.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")))
     least = known.groupBy("component").agg(F.min("rep").alias("least"))
-    by_print = materialize(known.join(least, "component").select(*print_, "least"))
-    return profiles.select("doc_id", *print_).join(by_print, print_, "left").select(
+    by_print = materialize(known.join(least, "component").select(*print_, "least", F.col("component").alias("group_id")))
+    return profiles.select("doc_id", "text_hash", *print_).join(by_print, print_, "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"),
+        "text_hash",
+        "group_id",
     ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -25,8 +25,9 @@ def _round(rows: DataFrame, done: int, depth: int, limit: int) -> DataFrame:
     shift = BITS - done - depth
     cells = rows.groupBy(F.shiftright("h", shift).alias("cell")).agg(F.sum("bytes").alias("bytes"))
     above = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(0 if done == 0 else 1), F.lit(depth))).alias("d")).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - d)"))
+    # written, so that AQE can split the rows of a shallow prefix, which many cells share
     fits = above.groupBy("d", "prefix").agg(F.sum("bytes").alias("bucket_bytes")).filter(F.col("bucket_bytes") <= limit)
-    least = above.join(fits, ["d", "prefix"]).groupBy("cell").agg(F.min(F.struct("d", "bucket_bytes")).alias("leaf"))
+    least = above.join(materialize(fits), ["d", "prefix"]).groupBy("cell").agg(F.min(F.struct("d", "bucket_bytes")).alias("leaf"))
     return cells.select("cell").join(least, "cell", "left").select("cell", (F.col("leaf.d") + done).alias("depth"), "leaf.bucket_bytes")
 
 
@@ -63,13 +64,17 @@ def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     return copies.select("doc_id", "bytes", F.lit(BITS).alias("depth"), name.alias("shard"), (F.least(each, F.col("n") - part * each) * F.col("bytes")).alias("shard_bytes"))
 
 
+#: The query's limit, so small that its buckets split in tables of a few megabytes too.
+QUERY_BYTES = 64 << 10
+
+
 def op4_extendible_sharding(spark, sf_dir: str) -> DataFrame:
-    return shards(table(spark, sf_dir, "documents"))
+    return shards(table(spark, sf_dir, "documents"), QUERY_BYTES)
 
 
 OP4_SQL = f"""
 WITH docs AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:15])::BIGINT AS h FROM documents),
-buckets AS (SELECT d, h >> ({BITS} - d) AS prefix, sum(bytes)::BIGINT AS shard_bytes FROM docs, range(0, {DEPTH} + 1) t(d) GROUP BY ALL HAVING sum(bytes) <= {SHARD_BYTES}),
+buckets AS (SELECT d, h >> ({BITS} - d) AS prefix, sum(bytes)::BIGINT AS shard_bytes FROM docs, range(0, {DEPTH} + 1) t(d) GROUP BY ALL HAVING sum(bytes) <= {QUERY_BYTES}),
 leaf AS (SELECT h, min(d)::INT AS depth FROM (SELECT DISTINCT h FROM docs) x JOIN buckets ON prefix = h >> ({BITS} - d) GROUP BY h)
 SELECT doc_id, bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> ({BITS} - depth)), depth, '0') END AS shard, shard_bytes
 FROM docs JOIN leaf USING (h) JOIN buckets b ON b.d = depth AND b.prefix = h >> ({BITS} - depth)

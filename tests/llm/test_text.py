@@ -327,3 +327,72 @@ def test_user_columns_stay(spark):
     docs = spark.createDataFrame([(1, "Mr. Al Bo, Bo.", "f", "n", 3, "h")], "doc_id long, text string, found string, names string, n_entities int, _h string")
     row = pii.replace_pii(docs, "k", count=None).first()
     assert (row.found, row.names, row.n_entities, row._h) == ("f", "n", 3, "h") and "Bo" not in row.text and row.asDict().keys() == set(docs.columns)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    p = " ".join(f"word{i}" for i in range(40))
+    schema = "doc_id long, text string, hit string, score string, n_entities int, found array<int>, n_chars int"
+    rows = [(1, p, "h", "s", 5, [1], 0), (1, p, "g", "s", 5, [1], 0), (1, "other text of doc one " * 9, "h", "s", 5, None, 0), (2, p + " z", "h", "s", 5, [2], 0)]
+    rows += [(3, None, "h", None, 5, None, None), (4, "", "h", "s", 5, [], 0), (4, "", "h", "s", 5, [], 0), (None, p, "h", "s", 5, [3], 0), (6, "word " * 50_000, "h", "s", 5, [3], 0)]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such words here"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.columns == out.columns
+        got = sorted(map(tuple, out.collect()), key=str)
+        if name == "packing":
+            assert sum(r[out.columns.index("start")] == 0 for r in got) == len(rows)
+            continue
+        assert out.schema.fieldNames() == docs.columns
+        if name == "near_duplicate_groups":
+            assert sorted(((r[0], (r[1] or "")[:5], r[2]) for r in got), key=str) == sorted([(1, "word0", "g"), (1, "other", "h"), (3, "", "h"), (4, "", "h"), (None, "word0", "h"), (6, "word ", "h")], key=str)
+        elif name == "pii_surrogates":
+            assert sorted(((*r[:6], len(r[1] or "") if r[1] is not None else None) for r in rows), key=str) == got
+        else:
+            assert got == sorted(rows, key=str), name
+
+
+def test_query_digests_match_brute_force(spark):
+    """op3, op4, op9 and op10 as queries, over the small tables."""
+    import duckdb
+    import hashlib
+    import pandas as pd
+
+    from driftwood.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "pages", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{d}/{name}.parquet')")
+    for name in ("op4_extendible_sharding", "op9_url_rules"):
+        query, sql = QUERIES[name]
+        got, want = (x[sorted(x.columns)].sort_values(sorted(x.columns)).reset_index(drop=True) for x in (query(spark, d).toPandas(), con.sql(sql).df()))
+        pd.testing.assert_frame_equal(got, want, check_dtype=False)
+        if name.startswith("op4"):
+            assert got.shard.nunique() > 1
+    scores = QUERIES["op3_quality_scores"][0](spark, d).toPandas()
+    assert (scores.predicted == (scores.score >= 0.5)).all() and (scores.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in scores.doc_id]).all()
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for k, t in con.sql("SELECT item_id, text FROM benchmark").fetchall():
+        w = split(t)
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(str(k))
+    sizes, want = {len(x) for x in windows}, {}
+    for i, t in con.sql("SELECT doc_id, text FROM documents").fetchall():
+        w, hit, items = split(t), set(), set()
+        for n in sizes:
+            for at in range(len(w) - n + 1):
+                if (own := windows.get(tuple(w[at : at + n]))) is not None:
+                    hit |= set(range(at, at + n))
+                    items |= own
+        want[i] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in QUERIES["op10_winnowing_decontamination"][0](spark, d).collect()}
+    assert got == want and any(x[4] for x in got.values())

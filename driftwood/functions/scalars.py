@@ -81,7 +81,7 @@ def nesting_depth(text: Column) -> Column:
 
 
 def longest_literal(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r'"[^"\n]*"|' + r"'[^'\n]*'"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit("'[^'\\n]*'|\"[^\"\\n]*\""), F.lit(0))
     return F.coalesce(F.array_max(F.transform(found, lambda s: F.length(s) - 2)), F.lit(0))
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from driftwood.functions.scalars import squash
 
 # Affixes that imitate a popular name.
-PREFIXES = ["py", "python", "lib"]
-SUFFIXES = ["py", "python", "lib", "js", "api", "dev", "2", "3"]
+PREFIXES = ["python-", "py-", "py"]
+SUFFIXES = ["-python", "-py", "-dev", "-lib", "-sdk", "-api", "2", "3"]
 
 
 def damerau(a: str, b: str) -> int:
@@ -53,6 +53,8 @@ def edit_pairs(names: DataFrame, targets: DataFrame) -> DataFrame:
     Candidates share a string after deletions, so no name meets every target; the distance is then computed.
     """
     targets = targets.withColumn("most", most_edits(F.col("target"))).filter("most > 0")
+    longest = targets.agg(F.coalesce(F.max(F.length("target")), F.lit(0)).alias("longest"))
+    names = names.join(F.broadcast(longest), F.expr("length(name) <= longest + 2")).select("name")  # of one row; longer names are near no target
     variants = F.when(F.col("most") == 1, deletions(F.col("target"), 1)).otherwise(deletions(F.col("target"), 2))
     t = targets.select("target", "rank", "most", F.explode(variants).alias("v"))
     # a name meets targets of up to two edits; one shorter than 7 only those of one

@@ -21,7 +21,9 @@ def words(spark, d):
     return w.select("name"), top.select("target", (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
-EDITS = f"{WORDS}, edits AS (SELECT name, target, rank, damerau_levenshtein(name, target) AS distance FROM words, popular WHERE abs(length(name) - length(target)) <= 2 AND name <> target AND damerau_levenshtein(name, target) <= CASE WHEN length(target) <= 3 THEN 0 WHEN length(target) <= 8 THEN 1 ELSE 2 END)"
+#: The distance is named once, behind the filter on lengths.
+EDITS = f"""{WORDS}, near AS (SELECT *, CASE WHEN length(target) <= 3 THEN 0 WHEN length(target) <= 8 THEN 1 ELSE 2 END AS most FROM popular),
+edits AS MATERIALIZED (SELECT name, target, rank, distance FROM (SELECT name, target, rank, most, damerau_levenshtein(name, target) AS distance FROM near JOIN words ON length(name) BETWEEN length(target) - most AND length(target) + most AND name <> target AND most > 0) WHERE distance <= most)"""
 
 
 @query(f"WITH {EDITS} SELECT name, target, rank, distance::INT AS distance FROM edits")
@@ -45,10 +47,10 @@ def join_separator(spark, d):
 AFFIX = " UNION ALL ".join([f"SELECT name, substr(name, {len(p) + 1}) AS target FROM w2 WHERE starts_with(name, '{p}')" for p in nm.PREFIXES] + [f"SELECT name, left(name, length(name) - {len(s)}) FROM w2 WHERE ends_with(name, '{s}')" for s in nm.SUFFIXES])
 
 
-@query(f"WITH {WORDS}, w2 AS (SELECT name FROM words UNION SELECT 'py' || target FROM popular UNION SELECT target || 'dev' FROM popular) SELECT DISTINCT name, target FROM ({AFFIX}) JOIN popular USING (target)")
+@query(f"WITH {WORDS}, w2 AS (SELECT name FROM words UNION SELECT 'py' || target FROM popular UNION SELECT target || '-dev' FROM popular) SELECT DISTINCT name, target FROM ({AFFIX}) JOIN popular USING (target)")
 def join_affix(spark, d):
     n, t = words(spark, d)
-    made = n.union(t.select(F.concat(F.lit("py"), "target"))).union(t.select(F.concat("target", F.lit("dev")))).distinct()
+    made = n.union(t.select(F.concat(F.lit("py"), "target"))).union(t.select(F.concat("target", F.lit("-dev")))).distinct()
     return nm.affix_pairs(made, t)
 
 

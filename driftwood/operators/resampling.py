@@ -2,25 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.functions.scalars import u01
+from driftwood.operators.graph import number
+from driftwood.operators.ranking import running_totals
+from driftwood.sources.scratch import checkpointed
 
 
 def multiplicities(units: DataFrame, key: str, seed: str, resamples: int) -> DataFrame:
     """(b, key, times): how often each unit is drawn in resample b of as many draws as units, with replacement."""
     n = units.agg(F.count("*").alias("_all"))
-    numbered = units.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint").alias("_at"))  # units: families or so
+    numbered = number(units.select(key), key, "_at")
     draws = numbered.crossJoin(n).select("_all", F.col("_at").alias("_j"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint"))).alias("b"))
     u = u01(F.concat_ws(":", F.lit(seed), F.col("b").cast("string"), F.col("_j").cast("string")))
     drawn = draws.select("b", F.floor(u * F.col("_all")).cast("bigint").alias("_at")).groupBy("b", "_at").agg(F.count("*").alias("times"))
     return drawn.join(numbered, "_at").select("b", key, "times")
 
 
-def cluster_bootstrap(scores: DataFrame, family: str, label: Column, resamples: int, seed: str) -> DataFrame:
-    """scores of every resample with times: positives drawn by family, negatives kept as they are."""
-    drawn = multiplicities(scores.filter(label).select(family).distinct(), family, seed, resamples)
-    pos = scores.filter(label).join(drawn, family)
-    neg = scores.filter(~label).withColumn("times", F.lit(1).cast("bigint")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint"))))
-    return pos.unionByName(neg)
+#: Of 65536 equally likely numbers, how many give at most 0, 1, 2, ... draws: the distribution of Poisson's law of mean 1.
+POISSON = [round(65536 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+
+
+def drawn_times(df: DataFrame, key: str, resamples: int) -> DataFrame:
+    """df with t0, t1, ...: how often the unit named by key is drawn in each resample, a keyed Poisson number known without the other units.
+
+    Sixteen resamples take one hash, four of its hexadecimal digits each, read three numbers at a time.  The number
+    of units in a resample varies by its square root.
+    """
+    hashes = {f"_h{k}": F.sha2(F.concat(F.lit(f"{k}:"), F.col(key)), 256) for k in range(-(-resamples // 16))}
+    groups = {f"_g{k}_{j}": F.conv(F.substring(f"_h{k}", 1 + 12 * j, 12), 16, 10).cast("bigint") for k in range(len(hashes)) for j in range(6)}
+
+    def times(b: int) -> Column:
+        k, j, i = b // 16, b % 16 // 3, b % 16 % 3
+        u = F.shiftright(F.col(f"_g{k}_{j}"), 0 if j == 5 else 16 * (2 - i)).bitwiseAND(65535)
+        return reduce(lambda x, y: x + y, ((u >= t).cast("int") for t in POISSON))
+
+    rows = df.withColumns(hashes).withColumns(groups)
+    return rows.select(*df.columns, *(times(b).alias(f"t{b}") for b in range(resamples)))
+
+
+def bootstrap_ci(scores: DataFrame, score: str, label: Column, weight: Column, family: Column, row: Column, resamples: int, fpr: float = 0.01) -> DataFrame:
+    """One row: 95 % intervals of the weighted area and of the weighted share caught at a false-positive rate.
+
+    Positives are drawn by family, negatives one by one; the draws are added up for each distinct score before anything
+    is ranked, so no row is copied for a resample.
+    """
+    span, limit = range(resamples), 1 - fpr
+    keyed = scores.withColumn("_key", F.when(label, F.concat(F.lit("family:"), family.cast("string"))).otherwise(F.concat(F.lit("row:"), row)))
+    drawn = drawn_times(keyed.select(F.col(score).alias("s"), label.alias("pos"), weight.alias("w"), "_key"), "_key", resamples)
+    sums = drawn.groupBy("s").agg(*(x for b in span for x in (F.sum(F.when(F.col("pos"), F.col("w") * F.col(f"t{b}")).otherwise(0.0)).alias(f"p{b}"), F.sum(F.when(F.col("pos"), 0).otherwise(F.col(f"t{b}"))).alias(f"n{b}"))))
+    cum = checkpointed(running_totals(checkpointed(sums), "s", {f"c{b}": F.col(f"n{b}") for b in span}))
+    whole = cum.agg(*(x for b in span for x in (F.sum(f"p{b}").alias(f"all_p{b}"), F.sum(f"n{b}").alias(f"all_n{b}"), F.sum(F.col(f"p{b}") * (F.col(f"c{b}") - F.col(f"n{b}") * 0.5)).alias(f"all_a{b}"))))
+    whole = checkpointed(whole)
+    at = lambda b: (F.col(f"all_n{b}") - 1) * limit
+    first = lambda b, more: F.min(F.when(F.col(f"c{b}") >= F.floor(at(b)) + more, F.col("s")))
+    edges = cum.crossJoin(F.broadcast(whole)).agg(*(x for b in span for x in (first(b, 1).alias(f"l{b}"), first(b, 2).alias(f"h{b}"))))  # whole: one row
+    edges = edges.crossJoin(whole).select(*(x for b in span for x in (F.col(f"all_p{b}"), F.try_divide(F.col(f"all_a{b}"), F.col(f"all_p{b}") * F.col(f"all_n{b}")).alias(f"auc{b}"), (F.col(f"l{b}") + (at(b) - F.floor(at(b))) * (F.coalesce(f"h{b}", f"l{b}") - F.col(f"l{b}"))).alias(f"q{b}"))))
+    edges = checkpointed(edges)
+    caught = cum.crossJoin(F.broadcast(edges)).agg(*(F.try_divide(F.sum(F.when(F.col("s") > F.col(f"q{b}"), F.col(f"p{b}")).otherwise(0.0)), F.max(f"all_p{b}")).alias(f"tpr{b}") for b in span))  # edges: one row
+    both = caught.crossJoin(edges).select(F.explode(F.array(*(F.struct(F.col(f"auc{b}").alias("auc"), F.col(f"tpr{b}").alias("tpr")) for b in span))).alias("r")).select("r.*")
+    return both.agg(*(F.percentile(c, q).alias(f"{c}_{name}") for c in ("auc", "tpr") for q, name in ((0.025, "lo"), (0.975, "hi"))), F.count("*").alias("resamples"))

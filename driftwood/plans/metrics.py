@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwood.functions.scalars import precision_at_base_rate, u01
 from driftwood.operators import ranking, relational as rel
-from driftwood.operators.resampling import cluster_bootstrap, multiplicities
+from driftwood.operators.resampling import POISSON, bootstrap_ci, multiplicities
 from driftwood.plans.registry import query
 from driftwood.plans.relational import SEEDS, seeded_scores, sql_u01
 from driftwood.sources.tables import table
@@ -244,25 +244,38 @@ def test_holm(spark, d):
 
 
 BOOT = 20
-DRAWN = f"""fam AS (SELECT family, row_number() OVER (ORDER BY family) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT family FROM s WHERE label)),
-drawn AS (SELECT b, floor({sql_u01("'boot:' || b || ':' || pos")} * n)::BIGINT AS pick FROM fam, range({BOOT}) t(b)),
-times AS (SELECT b, family, count(*) AS times FROM drawn JOIN fam ON pos = pick GROUP BY ALL),
-rs AS (SELECT b, score, label, w * times AS w FROM s JOIN times USING (family) WHERE label UNION ALL SELECT b, score, label, w FROM s, range({BOOT}) t(b) WHERE NOT label)"""
-
-
-@query(f"WITH {SCORES}, {DRAWN}, a AS ({sql_auc('rs', 'b')}) SELECT round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi, count(*) AS resamples FROM a")
+DRAWN = f"""r AS (SELECT l_extendedprice AS score, l_returnflag = 'R' AS label, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE / count(*) OVER (PARTITION BY l_suppkey, l_returnflag = 'R') ELSE 1.0 END AS w,
+  CASE WHEN l_returnflag = 'R' THEN 'family:' || l_suppkey ELSE 'row:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey END AS key FROM lineitem),
+h AS (SELECT *, [sha256(k || ':' || key) for k in range({-(-BOOT // 16)})] AS hs FROM r),
+d AS (SELECT b, score, label, w, len([t for t in {POISSON} if t <= ('0x' || substr(hs[1 + b // 16], (1 + 4 * (b % 16))::INT, 4))::INT]) AS times FROM h, range({BOOT}) x(b)),
+g AS (SELECT b, score, sum(CASE WHEN label THEN w * times ELSE 0 END) AS p, sum(CASE WHEN label THEN 0 ELSE times END) AS n FROM d GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY b ORDER BY score) AS c, sum(n) OVER (PARTITION BY b) AS all_n, sum(p) OVER (PARTITION BY b) AS all_p FROM g),
+q AS (SELECT b, any_value((all_n - 1) * (1 - 0.01::DOUBLE)) AS place, min(score) FILTER (WHERE c >= floor((all_n - 1) * (1 - 0.01::DOUBLE)) + 1) AS l, min(score) FILTER (WHERE c >= floor((all_n - 1) * (1 - 0.01::DOUBLE)) + 2) AS u, sum(p * (c - n * 0.5)) / any_value(all_p * all_n) AS auc FROM c GROUP BY b),
+t AS (SELECT b, any_value(auc) AS auc, sum(CASE WHEN score > l + (place - floor(place)) * (coalesce(u, l) - l) THEN p ELSE 0 END) / any_value(all_p) AS tpr FROM c JOIN q USING (b) GROUP BY b)"""
+INTERVAL = ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_{name}" for c in ("auc", "tpr") for q, name in ((0.025, "lo"), (0.975, "hi")))
+
+
+def interval(spark, d, resamples):
+    li = table(spark, d, "lineitem").withColumn("label", F.col("l_returnflag") == "R")
+    sizes = li.filter("label").groupBy("l_suppkey").agg(F.count("*").alias("size"))
+    s = li.join(sizes, "l_suppkey", "left")
+    row = F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")))
+    out = bootstrap_ci(s, "l_extendedprice", F.col("label"), F.when(F.col("label"), 1.0 / F.col("size")).otherwise(1.0), F.col("l_suppkey"), row, resamples)
+    return rounded(out, "auc_lo", "auc_hi", "tpr_lo", "tpr_hi")
+
+
+@query(f"WITH {DRAWN} SELECT {INTERVAL}, count(*) AS resamples FROM t")
 def boot_ci(spark, d):
-    rs = cluster_bootstrap(score_rows(spark, d).select("score", "label", "family", "w"), "family", F.col("label"), BOOT, "boot")
-    a = ranking.auc(rs, "score", F.col("label"), F.col("w") * F.col("times"), ["b"])
-    return a.agg(F.round(F.percentile("auc", 0.025), 6).alias("lo"), F.round(F.percentile("auc", 0.975), 6).alias("hi"), F.count("*").alias("resamples"))
+    """Intervals over resamples of the families of positives and of each negative."""
+    return interval(spark, d, BOOT)
 
 
-#: Resamples of the reference's configuration.
+#: Resamples of a full run.
 ALL_RESAMPLES = 5000
 
 
 def family_auc_ci(scores, resamples):
-    """lo and hi of the resampled AUC, as boot_ci has them.
+    """lo and hi of the AUC where only the families of positives are drawn (boot_ci draws the negatives too).
 
     Negatives are the same in every resample, so each family's share of the area is computed once and weighted.
     """
@@ -277,7 +290,7 @@ def family_auc_ci(scores, resamples):
 
 @query()
 def boot_ci_5000(spark, d):
-    """boot_ci with the reference's number of resamples, too many for its SQL."""
+    """The interval over families alone, with a large number of resamples, too many for SQL."""
     return family_auc_ci(score_rows(spark, d), ALL_RESAMPLES)
 
 
@@ -315,7 +328,7 @@ def boot_paired(spark, d):
 
 @query()
 def boot_paired_5000(spark, d):
-    """boot_paired with the reference's number of resamples, too many for its SQL."""
+    """boot_paired with the resamples of a full run, too many for its SQL."""
     return paired_difference(spark, d, ALL_RESAMPLES)
 
 

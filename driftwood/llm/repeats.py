@@ -321,7 +321,9 @@ def repeated_ranges(docs: DataFrame, keep_first: bool = False, span: int = SPAN,
     """
     scan = docs.mapInArrow(_scan(span, gram), "doc_id long, h long, g long, seg long, left long, right long, start long, shape long")
     twice = docs.select("text").mapInArrow(_anchors(span, gram), "g long").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    twice = materialize(twice)  # written, like the other aggregates here, so that AQE can split the rows of a hot anchor in the join
     found = materialize(scan.join(twice, "g"))
+    drop(twice)
     same = ["g", "seg", "shape"]
     least = F.min(F.struct(*KEY, "start")) if keep_first else F.first(F.struct(*KEY, "start"))
     classes = materialize(found.groupBy(*same).agg(F.count("*").alias("n"), least.alias("one"), F.first("left").alias("left"), F.first("right").alias("right")))
@@ -333,10 +335,10 @@ def repeated_ranges(docs: DataFrame, keep_first: bool = False, span: int = SPAN,
 
     for side in ("left", "right"):
         shared = classes.filter(F.col(side) != 0).groupBy("g", side).agg(F.count("*").alias("k")).filter("k > 1").select("g", side, F.lit(True).alias(f"{side}_shared"))
-        classes = classes.join(shared, ["g", side], "left")
+        classes = classes.join(materialize(shared), ["g", side], "left")
     some = materialize(classes.filter("left_shared or right_shared").select(*same, "n", "one"))
     groups = some.groupBy("g").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1" if keep_first else "d > 1 and least = 1")
-    want = some.join(groups, "g").select("one.*", "g", "shape", (F.col("n") == 1).alias("single"), (F.col("d") > GROUP).alias("large"))
+    want = some.join(materialize(groups), "g").select("one.*", "g", "shape", (F.col("n") == 1).alias("single"), (F.col("d") > GROUP).alias("large"))
     want = materialize(want)
     if want.isEmpty():
         return out

@@ -1,12 +1,13 @@
 """Benchmark decontamination by winnowing.
 
-Both sides keep the least k-gram hash of every window of T - K + 1 k-grams, so any shared run of T words shares a
-kept fingerprint.  Test fingerprints are met with a binary search inside the scan of the documents; each hit is
-extended word by word to its longest run, and runs of T words or more are marked.  Items of fewer than T words are
-one window of their own length and are met by the hash of that many words.
-
-The test set is cut into blocks of at most BLOCK_WORDS words (16 MB of broadcast arrays); every block is one more
-Arrow scan chained behind the first, so a test set of any size works and no document is shuffled.
+Every run of T words of either side has one fingerprint: the least K-gram hash of its T - K + 1 K-grams.  Documents are
+met with test items by a join on equal windows: a window of a document whose fingerprint the test set has is extended to
+its T words and joined on the SHA-256 of these words, so a match rests on the words and not on a 64-bit hash.  Items of
+fewer than T words are one window of their own length.
+
+The test set stays a table of any size.  Only a bitmap of its fingerprints and window hashes is broadcast; its size is
+fixed (FILTER_BITS), and a test set that fills it merely lets more windows into the join.  Documents are scanned once;
+those without a candidate window, nearly all, are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,166 +20,177 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.llm import textkit as tk
-from driftwood.llm.common import table, tune
+from driftwood.llm.common import fresh, materialize, table, tune
 
 U64 = np.uint64
 #: Words of a window, words of a fingerprint's k-gram.
 SPAN, GRAM = 10, 5
-BLOCK_WORDS = 1 << 20
-_NONE = U64(0xFFFFFFFFFFFFFFFF)
+#: The broadcast bitmap has 2**FILTER_BITS bits (8 MB).
+FILTER_BITS = 26
 
 
-def winnow(g: np.ndarray, ok: np.ndarray, window: int) -> np.ndarray:
-    """Positions of k-grams that are least in some window of that many; ok marks those inside one document."""
-    h = np.where(ok, g, _NONE)
-    n = len(h) - window + 1
+def fingerprints(words: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """The least k-gram hash of every window of span words, ignoring document ends."""
+    g = tk.grams(words, gram)
+    n = len(words) - span + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    least = h[:n].copy()
-    for j in range(1, window):
-        np.minimum(least, h[j : j + n], out=least)
-    keep = np.zeros(len(h), bool)
-    for j in range(window):
-        keep[j : j + n] |= h[j : j + n] == least
-    return np.flatnonzero(keep & ok)
-
-
-class Block:
-    """Words and fingerprints of some test items: texts is a list of (item_id, text)."""
-
-    def __init__(self, texts: list[tuple[int, str]], span: int = SPAN, gram: int = GRAM):
-        self.span, self.gram = span, gram
-        self.ids = [str(i) for i, _ in texts]
-        _, _, data, offs = next(tk.slices(pa.array([t for _, t in texts], pa.large_string()), 1 << 62))
-        data = tk.LOWER[data]
-        starts, ends, self.bounds = tk.words(data, offs, tk.ALNUM)
-        self.words = tk.word_hashes(data, starts, ends)
-        size = np.diff(self.bounds)
-        self.item_of = np.repeat(np.arange(len(texts)), size)
-        g = tk.grams(self.words, gram)
-        at = winnow(g, tk.inside(self.bounds, gram, len(g)), span - gram + 1)
-        at = at[size[self.item_of[at]] >= span]
-        order = np.argsort(g[at], kind="stable")
-        self.prints, self.at = g[at][order], at[order]
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in range(1, span):
-            own = np.flatnonzero(size == n)
-            if len(own):
-                h = np.array([tk.grams(self.words[self.bounds[i] : self.bounds[i + 1]], n)[0] for i in own], U64)
-                order = np.argsort(h, kind="stable")
-                self.short[n] = h[order], own[order]
-
-    def match(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[set[int]]]:
-        """Mask of hit words, and for each document the numbers of the items found."""
-        docs = len(bounds) - 1
-        change, items = np.zeros(len(words) + 1, np.int64), [set() for _ in range(docs)]
-        doc_of = np.repeat(np.arange(docs), np.diff(bounds))
-
-        def mark(first, end, item):
-            np.add.at(change, first, 1)
-            np.add.at(change, end, -1)
-            for d, i in set(zip(doc_of[first].tolist(), item.tolist(), strict=True)):
-                items[d].add(i)
-
-        if len(self.prints):
-            g = tk.grams(words, self.gram)
-            p = winnow(g, tk.inside(bounds, self.gram, len(g)), self.span - self.gram + 1)
-            lo, hi = np.searchsorted(self.prints, g[p], "left"), np.searchsorted(self.prints, g[p], "right")
-            found = np.flatnonzero(hi > lo)
-            for part in np.array_split(found, max(1, int((hi - lo)[found].sum()) // 200_000)):  # bounded memory for frequent fingerprints
-                count = (hi - lo)[part]
-                x = np.repeat(p[part], count)
-                step = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
-                y = self.at[np.repeat(lo[part], count) + step]
-                self._extend(words, bounds, doc_of, x, y, mark)
-        for n, (prints, item) in self.short.items():
-            g = tk.grams(words, n)
-            at = np.minimum(np.searchsorted(prints, g), len(prints) - 1)
-            p = np.flatnonzero((prints[at] == g) & tk.inside(bounds, n, len(g)))
-            for lo in range(int(np.max(np.unique(prints, return_counts=True)[1])) if len(p) else 0):  # items of equal words
-                same = at[p] + lo < len(prints)
-                p = p[same]
-                p = p[prints[at[p] + lo] == g[p]]
-                mark(p, p + n, item[at[p] + lo])
-        return np.cumsum(change[:-1]) > 0, items
-
-    def _extend(self, words, bounds, doc_of, x, y, mark):
-        d, i = doc_of[x], self.item_of[y]
-        room = np.minimum(x - bounds[d], y - self.bounds[i]), np.minimum(bounds[d + 1] - x, self.bounds[i + 1] - y)
-        reach = []
-        for most, sign, first in ((room[0], -1, 1), (room[1], 1, 0)):
-            far, live = np.zeros(len(x), np.int64), np.arange(len(x))
-            while len(live):
-                live = live[far[live] < most[live]]
-                step = sign * (far[live] + first)
-                live = live[words[x[live] + step] == self.words[y[live] + step]]
-                far[live] += 1
-            reach.append(far)
-        ok = reach[0] + reach[1] >= self.span
-        mark(x[ok] - reach[0][ok], x[ok] + reach[1][ok], i[ok])
-
-
-def _scan(block):
-    """Arrow scan that adds the hits of one block to hit (a bitmap of words) and items."""
+        return np.zeros(0, U64)
+    least = g[:n].copy()
+    for j in range(1, span - gram + 1):
+        np.minimum(least, g[j : j + n], out=least)
+    return least
+
+
+def _digests(data, starts, ends, at, n):
+    """SHA-256 of the n words from each of these positions, joined by spaces, which no word holds."""
+    raw = data.tobytes()
+    for p in at.tolist():
+        yield hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(starts[p : p + n].tolist(), ends[p : p + n].tolist(), strict=True)])).digest()
+
+
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U64(64 - bits)).astype(np.int64)
+
+
+def _item_windows(span, gram, bits):
+    """Arrow scan of (item, text): a row for each window, with its digest, its words and its slots in the bitmap."""
 
     def run(batches):
-        own = block.value
         for batch in batches:
             for lo, hi, data, offs in tk.slices(batch.column("text")):
                 data = tk.LOWER[data]
                 starts, ends, bounds = tk.words(data, offs, tk.ALNUM)
-                mask, items = own.match(tk.word_hashes(data, starts, ends), bounds)
-                part = batch.slice(lo, hi - lo)
-                hits, names = [], []
-                for k, (was, had) in enumerate(zip(part.column("hit").to_pylist(), part.column("items").to_pylist(), strict=True)):
-                    new = mask[bounds[k] : bounds[k + 1]]
-                    if not new.any():
-                        hits.append(was)
-                        names.append(had)
+                h = tk.word_hashes(data, starts, ends)
+                least = fingerprints(h, span, gram)
+                for k, item in enumerate(batch.column("item").slice(lo, hi - lo).to_pylist()):
+                    size = int(bounds[k + 1] - bounds[k])
+                    if not size:
                         continue
-                    if was is not None:
-                        new = new | np.unpackbits(np.frombuffer(was, np.uint8), count=len(new)).astype(bool)
-                    hits.append(np.packbits(new).tobytes())
-                    names.append(sorted({*(had or ()), *(own.ids[i] for i in items[k])}))
-                at = {name: j for j, name in enumerate(part.schema.names)}
-                columns = list(part.columns)
-                columns[at["hit"]], columns[at["items"]] = pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))
-                columns[at["n_words"]] = pa.array(np.diff(bounds), pa.int64())
-                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+                    n = min(span, size)
+                    at = np.arange(bounds[k], bounds[k + 1] - n + 1)
+                    whole = _slot(tk.grams_at(h, at, n), bits)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([item] * len(at), pa.string()),
+                            pa.array(_digests(data, starts, ends, at, n), pa.binary()),
+                            pa.array(np.full(len(at), n), pa.int32()),
+                            pa.array(whole, pa.int64()),
+                            pa.array(_slot(least[at], bits) if n == span else whole, pa.int64()),
+                        ],
+                        ["item", "digest", "n", "whole", "print"],
+                    )
+
+    return run
+
+
+def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, those of the windows' slots set; the driver gets at most one row for each 64 of them."""
+    slot = F.col("slot")
+    words = windows.select(F.explode(F.array("whole", "print")).alias("slot")).groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
+    found, out = words.toPandas(), np.zeros(max(1, 1 << bits >> 6), U64)
+    out[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(U64)
+    return out
+
+
+def _scan(shared, n_words: str, cand: str):
+    """Arrow scan that adds n_words and the distinct candidate windows of a document with their positions, null if there are none."""
+
+    def run(batches):
+        bitmap, bits, lengths, span, gram = shared.value
+
+        def has(h):
+            slot = _slot(h, bits)
+            return (bitmap[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1
+
+        def candidates(h, bounds, n):
+            if n < span:
+                g = tk.grams(h, n)
+                return np.flatnonzero(has(g) & tk.inside(bounds, n, len(g)))
+            least = fingerprints(h, span, gram)
+            if not len(least):
+                return np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))  # windows beside each other mostly share theirs
+            at = np.flatnonzero(np.repeat(has(least[first]), np.diff(np.append(first, len(least)))) & tk.inside(bounds, span, len(least)))
+            return at[has(tk.grams_at(h, at, span))]
+
+        kind = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("at", pa.list_(pa.int32()))]))
+        for batch in batches:
+            for lo, hi, data, offs in tk.slices(batch.column("text")):
+                data = tk.LOWER[data]
+                starts, ends, bounds = tk.words(data, offs, tk.ALNUM)
+                h = tk.word_hashes(data, starts, ends)
+                found: list[dict] = [{} for _ in range(hi - lo)]
+                for n in lengths:
+                    at = candidates(h, bounds, n)
+                    doc = np.searchsorted(bounds, at, "right") - 1
+                    for k, p, digest in zip(doc.tolist(), (at - bounds[doc]).tolist(), _digests(data, starts, ends, at, n), strict=True):
+                        found[k].setdefault((digest, n), []).append(p)
+                rows = [[{"digest": d, "n": n, "at": at} for (d, n), at in own.items()] or None for own in found]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bounds), pa.int64()), pa.array(rows, kind)], [*part.schema.names, n_words, cand])
 
     return run
 
 
-def blocks(benchmark: DataFrame, span: int = SPAN, gram: int = GRAM):
-    """Yield Blocks of at most BLOCK_WORDS words (one item at least) in the order of item_id, streamed to the driver."""
-    rows, size = [], 0
-    for item in benchmark.select("item_id", "text").filter("text is not null").orderBy("item_id").toLocalIterator():
-        words = len(item.text) // 2 + 1
-        if rows and size + words > BLOCK_WORDS:
-            yield Block(rows, span, gram)
-            rows, size = [], 0
-        rows.append((item.item_id, item.text))
-        size += words
-    if rows:
-        yield Block(rows, span, gram)
+def _marked(n_words: str, spans: str, hit: str):
+    """Arrow scan that turns the confirmed windows of a document into a bitmap of its hit words."""
+
+    def run(batches):
+        for batch in batches:
+            at = {name: j for j, name in enumerate(batch.schema.names)}
+            hits = []
+            for size, own in zip(batch.column(n_words).to_pylist(), batch.column(spans).to_pylist(), strict=True):
+                if not own:
+                    hits.append(None)
+                    continue
+                change = np.zeros(size + 1, np.int64)
+                for s in own:
+                    first = np.array(s["at"], np.int64)
+                    np.add.at(change, first, 1)
+                    np.add.at(change, first + s["n"], -1)
+                hits.append(np.packbits(np.cumsum(change[:-1]) > 0).tobytes())
+            columns = [c for j, c in enumerate(batch.columns) if j != at[spans]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, pa.binary())], [*(n for n in batch.schema.names if n != spans), hit])
+
+    return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """docs with n_words long, hit binary (bitmap of hit words, null if none) and items array<string>, any clashing columns replaced.
 
     A word is a run of digits, letters (A-Z lower-cased) and characters beyond ASCII.  Null texts have no words;
-    empty tables, items without words and repeated rows or items are allowed.
+    empty tables, items without words and repeated rows or items are allowed; items of one id are one item.
+    All columns of docs pass through a written table, so leave out those that are not wanted.
     """
     spark = docs.sparkSession
     tune(spark)
-    out = docs.drop("n_words", "hit", "items").withColumns({"n_words": F.lit(None).cast("long"), "hit": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
-    some = False
-    for block in blocks(benchmark, span, gram):
-        some = True
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block)), out.schema)
-    if not some:
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(Block([(0, "")], span, gram))), out.schema)
-    return out
+    texts = benchmark.filter("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("None")).alias("item"), "text")
+    windows = materialize(texts.mapInArrow(_item_windows(span, gram, FILTER_BITS), "item string, digest binary, n int, whole long, print long"))
+    lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # 1 to span
+    shared = spark.sparkContext.broadcast((_bitmap(windows, FILTER_BITS), FILTER_BITS, lengths, span, gram))
+
+    docs = docs.drop("n_words", "hit", "items")
+    row, cand, spans, sets = fresh(docs, "row", "cand", "spans", "sets")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered.withColumns({"n_words": F.lit(None).cast("long"), cand: F.lit(None).cast("array<struct<digest: binary, n: int, at: array<int>>>")})
+    base = materialize(numbered.mapInArrow(_scan(shared, "n_words", cand), rows.schema))
+
+    # windows of the same items are one set, known by its size and two sums of hashes; aggregates are written before they are joined
+    pairs = windows.select("item", "digest").distinct()
+    name = F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64("item")), F.bit_xor(F.xxhash64(F.lit(1), "item")))
+    keys = materialize(pairs.groupBy("digest").agg(name.alias("set")))
+    members = keys.groupBy("set").agg(F.min("digest").alias("digest")).join(pairs, "digest").select("set", "item")
+    met = base.filter(F.col(cand).isNotNull()).select(row, F.explode(cand).alias("w")).select(row, "w.*").join(keys, "digest")
+    found = materialize(met.groupBy(row).agg(F.collect_list(F.struct("n", "at")).alias(spans), F.array_sort(F.collect_set("set")).alias(sets)))  # of one document
+    named = found.select(sets).distinct().select(sets, F.explode(sets).alias("set")).join(members, "set")
+    named = materialize(named.groupBy(sets).agg(F.array_sort(F.collect_set("item")).alias("items")))
+
+    hits = found.join(named, sets).select(row, spans, "items")
+    order = [*docs.columns, "n_words", "items"]
+    some = base.filter(F.col(cand).isNotNull()).join(hits, row, "left").select(*order, spans)
+    marked = some.mapInArrow(_marked("n_words", spans, "hit"), some.drop(spans).withColumn("hit", F.lit(None).cast("binary")).schema)
+    none = base.filter(F.col(cand).isNull()).select(*docs.columns, "n_words", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("binary").alias("hit"))
+    return none.unionByName(marked).select(*docs.columns, "n_words", "hit", "items")
 
 
 def op10_winnowing_decontamination(spark, sf_dir: str) -> DataFrame:

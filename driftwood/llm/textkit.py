@@ -16,6 +16,7 @@ U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 BASE = U64(0x9E3779B97F4A7C15)
+GRAM_BASE = U64(0x9FB21C651E98DF25)
 BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
@@ -111,11 +112,19 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, U64)
     out = hashes[:n].copy()
     for j in range(1, k):
-        out *= U64(0x9FB21C651E98DF25)
+        out *= GRAM_BASE
         out += hashes[j : j + n]
     return mix(out + U64(k))
 
 
+def grams_at(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The hashes that grams() has at these positions."""
+    out = hashes[at]
+    for j in range(1, k):
+        out = out * GRAM_BASE + hashes[at + j]
+    return mix(out + U64(k))
+
+
 def inside(bounds: np.ndarray, k: int, n: int) -> np.ndarray:
     """Which of the n runs of k words lie within one document; bounds from words()."""
     ok = np.ones(n, bool)

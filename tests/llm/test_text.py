@@ -197,8 +197,8 @@ def test_contamination(spark, monkeypatch):
         n = min(10, len(w))
         for i in range(len(w) - n + 1 if n else 0):
             windows.setdefault(tuple(w[i : i + n]), set()).add(str(k))
-    for size in (1 << 20, 30):  # one block, and many
-        monkeypatch.setattr(dc, "BLOCK_WORDS", size)
+    for bits in (dc.FILTER_BITS, 6):  # a bitmap nearly empty, and one so full that it lets nearly all windows pass
+        monkeypatch.setattr(dc, "FILTER_BITS", bits)
         for r in dc.contamination(frame, bench).collect():
             w, hit, found = split(docs[r.doc_id]), set(), set()
             for n in {len(x) for x in windows}:

@@ -92,7 +92,7 @@ def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _scan(shared, n_words: str, cand: str):
+def _scan(shared, n_words: str, cand: str, keep_text: bool):
     """Arrow scan that adds n_words and the distinct candidate windows of a document with their positions, null if there are none."""
 
     def run(batches):
@@ -127,6 +127,8 @@ def _scan(shared, n_words: str, cand: str):
                         found[k].setdefault((digest, n), []).append(p)
                 rows = [[{"digest": d, "n": n, "at": at} for (d, n), at in own.items()] or None for own in found]
                 part = batch.slice(lo, hi - lo)
+                if not keep_text:
+                    part = part.drop_columns("text")
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bounds), pa.int64()), pa.array(rows, kind)], [*part.schema.names, n_words, cand])
 
     return run
@@ -155,12 +157,12 @@ def _marked(n_words: str, spans: str, hit: str):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """docs with n_words long, hit binary (bitmap of hit words, null if none) and items array<string>, any clashing columns replaced.
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, keep_text: bool = True) -> DataFrame:
+    """docs, without text if keep_text is false, with n_words long, hit binary (bitmap of hit words, null if none) and items array<string>, any clashing columns replaced.
 
     A word is a run of digits, letters (A-Z lower-cased) and characters beyond ASCII.  Null texts have no words;
     empty tables, items without words and repeated rows or items are allowed; items of one id are one item.
-    All columns of docs pass through a written table, so leave out those that are not wanted.
+    The columns that are kept pass through a written table.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -172,8 +174,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     docs = docs.drop("n_words", "hit", "items")
     row, cand, spans, sets = fresh(docs, "row", "cand", "spans", "sets")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = numbered.withColumns({"n_words": F.lit(None).cast("long"), cand: F.lit(None).cast("array<struct<digest: binary, n: int, at: array<int>>>")})
-    base = materialize(numbered.mapInArrow(_scan(shared, "n_words", cand), rows.schema))
+    docs = docs if keep_text else docs.drop("text")
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).withColumns({"n_words": F.lit(None).cast("long"), cand: F.lit(None).cast("array<struct<digest: binary, n: int, at: array<int>>>")})
+    base = materialize(numbered.mapInArrow(_scan(shared, "n_words", cand, keep_text), rows.schema))
 
     # windows of the same items are one set, known by its size and two sums of hashes; aggregates are written before they are joined
     pairs = windows.select("item", "digest").distinct()
@@ -195,7 +198,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
 
 def op10_winnowing_decontamination(spark, sf_dir: str) -> DataFrame:
     """The contract: windows of ten words; counts, items and a verdict for every document."""
-    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
 
     def digest(batches):
         for b in batches:

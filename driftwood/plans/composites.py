@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwood.functions.scalars import u01
 from driftwood.operators import ranking, relational as rel
@@ -10,6 +13,8 @@ from driftwood.plans.metrics import SCORES, score_rows, sql_auc
 from driftwood.plans.registry import query
 from driftwood.plans.relational import SEEDS, seeded_scores, sql_u01
 from driftwood.plans.text import FULL_NOISE, docs, sql_pattern
+from driftwood.sources.artefacts import cached, load_bundle, preflight, save_bundle
+from driftwood.sources.scratch import shared_folder
 from driftwood.sources.tables import table
 
 # Distributions whose module has another name.
@@ -262,3 +267,31 @@ def source_project_snapshot(spark, d):
     from driftwood.sources.scratch import checkpointed
 
     return checkpointed(table(spark, d, "part").select(F.regexp_replace(F.lower("p_name"), "[-_. ]+", "-").alias("project")).distinct())
+
+
+@query("SELECT p_partkey, p_name, p_size, 'bundle' AS kind, 7::BIGINT AS seed FROM part")
+def sink_bundle_round_trip(spark, d):
+    """A table and its settings, saved as a bundle and loaded again."""
+    path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    save_bundle(spark, path, {"part": table(spark, d, "part").select("p_partkey", "p_name", "p_size")}, {"kind": "bundle", "seed": 7})
+    tables, settings = load_bundle(spark, path)
+    return tables["part"].select("*", F.lit(settings["kind"]).alias("kind"), F.lit(settings["seed"]).cast("bigint").alias("seed"))
+
+
+@query("SELECT DISTINCT doc_id, md5(text) AS digest, length(text) AS size FROM documents WHERE doc_id IS NOT NULL")
+def sink_artefact_cache(spark, d):
+    """What is extracted from documents, half of it in an earlier run whose cache is used."""
+    path = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    extract = lambda t: t.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("bigint").alias("size"))
+    cached(docs.filter("doc_id % 2 = 0"), "doc_id", path, extract)
+    return cached(docs, "doc_id", path, extract)
+
+
+@query("""SELECT unnest(['column p_partkey', 'column p_name', 'column p_rank', 'size above 0', 'name of two words', 'size below 10']) AS name,
+unnest([0, 0, 1, count(*) FILTER (WHERE NOT coalesce(p_size > 0, false)), count(*) FILTER (WHERE NOT coalesce(p_name LIKE '% %', false)), count(*) FILTER (WHERE NOT coalesce(p_size < 10, false))])::BIGINT AS failed FROM part""")
+def source_preflight(spark, d):
+    """Checks before a job, some of which fail on purpose."""
+    part = table(spark, d, "part")
+    types = {"p_partkey": part.schema["p_partkey"].dataType, "p_name": T.StringType(), "p_rank": T.LongType()}
+    return preflight(part, types, {"size above 0": F.col("p_size") > 0, "name of two words": F.col("p_name").like("% %"), "size below 10": F.col("p_size") < 10})

@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the session's spark.checkpoint.dir; a folder of our own only where none is set and the session is local."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The session's spark.checkpoint.dir; a folder of our own only where none is set and the session is local."""
+    sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
@@ -17,4 +17,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="driftwood-"))
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
+    return (folder or sc.getCheckpointDir()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

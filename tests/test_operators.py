@@ -5,6 +5,7 @@ import random
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from driftwood.operators import detectors, families, graph, names, ranking
@@ -202,3 +203,29 @@ def test_pairs_just_at_the_threshold_are_all_found(spark):
     pairs = families.near_duplicate_pairs(spark.createDataFrame(rows, "id long, text string"), 0.7).collect()
     assert {(p.a, p.b) for p in pairs} == {(2 * k, 2 * k + 1) for k in range(400)}
     assert all((1 - t**families.BAND) ** families.bands(t) <= 1e-6 for t in (0.5, 0.7, 0.8, 0.9))
+
+
+def test_a_failed_preflight_names_its_checks(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from driftwood.sources.artefacts import required
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
+    assert required(df, {"id": T.LongType()}, {"positive": F.col("id") > 0}).count() == 2
+    with pytest.raises(ValueError, match="named"):
+        required(df, {"id": T.LongType()}, {"positive": F.col("id") > 0, "named": F.col("name").isNotNull()})
+    with pytest.raises(ValueError, match="rank"):
+        required(df, {"rank": T.LongType()}, {})
+
+
+def test_the_cache_extracts_only_what_it_lacks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from driftwood.sources.artefacts import cached
+
+    items = spark.createDataFrame([(k, v) for k, v in ((1, "a"), (2, "b"), (2, "b"), (3, "c"), (None, "d"))], "id long, v string")
+    first = cached(items.filter("id < 3"), "id", f"{tmp_path}/cache", lambda t: t.withColumn("run", F.lit(1)))
+    assert sorted(r.id for r in first.collect()) == [1, 2]
+    again = cached(items, "id", f"{tmp_path}/cache", lambda t: t.withColumn("run", F.lit(2)))
+    assert sorted((r.id, r.run) for r in again.collect()) == [(1, 1), (2, 1), (3, 2)]

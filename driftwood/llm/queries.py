@@ -5,6 +5,7 @@ from __future__ import annotations
 from driftwood.llm.decontaminate import op10_winnowing_decontamination
 from driftwood.llm.embeddings import op1_hnsw_near_dedup
 from driftwood.llm.html_text import op8_html_main_text
+from driftwood.llm.manifest import OP13_SQL, op13_merkle_manifest
 from driftwood.llm.near_duplicates import op5_minhash_near_dedup
 from driftwood.llm.packing import op2_cutting_stock_packing
 from driftwood.llm.pii import op6_pii_surrogates
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_html_main_text": (op8_html_main_text, None),
     "op9_url_rules": (op9_url_rules, OP9_SQL),
     "op10_winnowing_decontamination": (op10_winnowing_decontamination, None),
+    "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }

@@ -303,8 +303,8 @@ def audit(asked: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     at = t.join(per.drop("own").hint("merge"), on).withColumn("upto", F.col("upto") + F.col("ahead"))
     # a value is the target-th of those i with upto - c < ceil(i n / q) <= upto
     q = QUANTILES
-    hit = at.filter("kind = 1").withColumns({"from": F.expr(f"({q} * (upto - c)) div n + 1"), "to": F.expr(f"least({q - 1}L, ({q} * upto) div n)")}).filter("from <= to")
-    hit = hit.select(*keys, F.explode(F.sequence("from", "to")).cast("int").alias("i"), F.col("x").alias("exact_x"), none.cast("bigint").alias("n_below"), none.cast("bigint").alias("n_upto"))
+    hit = at.filter("kind = 1").withColumns({"low": F.expr(f"({q} * (upto - c)) div n + 1"), "high": F.expr(f"least({q - 1}L, ({q} * upto) div n)")}).filter("low <= high")
+    hit = hit.select(*keys, F.explode(F.expr("sequence(cast(low as int), cast(high as int))")).alias("i"), F.col("x").alias("exact_x"), none.cast("bigint").alias("n_below"), none.cast("bigint").alias("n_upto"))
     ends = at.filter("kind <> 1").select(*keys, "i", none.cast("bigint").alias("exact_x"), F.when(F.col("kind") == 0, F.col("upto")).alias("n_below"), F.when(F.col("kind") == 2, F.col("upto")).alias("n_upto"))
     asked = asked.select(*keys, "i", "n", "target", "points", "answer", *(none.cast("bigint").alias(c) for c in ("exact_x", "n_below", "n_upto")))
     found = hit.unionByName(ends).unionByName(asked, allowMissingColumns=True)

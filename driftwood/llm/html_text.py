@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from typing import NamedTuple
 
@@ -44,21 +45,71 @@ CONTENT_NAMES = frozenset("article content post entry story main body text".spli
 #: Words of a name that tell a state; such a name says nothing of what the element holds.
 STATE_NAMES = frozenset("has is with without no not enabled disabled open closed active inactive on off below above".split())
 
-TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>\"[^\"]*\"|'[^']*'|[^'\">]|['\"])*?)(/?)>|[^<]+|<",
-    re.S | re.I,
-)
+#: A tag without "<" before its end, and its beginning; what else a page holds.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>'"]+|"[^"<]*"|'[^'<]*')*+)>""")
+OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+OTHER = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|[^<]+|<", re.S)
 CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
 OPENING = {name: re.compile(rf"<{name}(?=[\s/>])", re.I) for name in SKIPPED - RAW}
 #: Tags that no skipped element has inside; a closing tag behind them belongs to another element.
 BARRIER = re.compile(r"<(?:/?(?:article|main|body|nav|footer|header|aside)|h1)(?=[\s/>])", re.I)
 BARRIERS = dict.fromkeys(("button", "option", "title"), re.compile(r"<(?:/?(?:article|main|body|nav|footer|header|aside|section|p|ul|ol|table)|h[1-6])(?=[\s/>])", re.I))
-#: A slash behind such a value belongs to it and doesn't close the element.
-UNQUOTED = re.compile(r"""=\s*[^\s"']+\Z""")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true""", re.I)
 
 
+def _unquoted(attributes: str) -> bool:
+    """Whether they end with a value without quotes; a slash behind it belongs to it and doesn't close the element."""
+    last = re.split(r"[\s\"']", attributes)[-1]
+    return "=" in last[:-1] or bool(last) and attributes[: len(attributes) - len(last)].rstrip().endswith("=")
+
+
+class _Tags:
+    """Finds tags: linear in the page, whatever is open or broken in it.
+
+    A tag ends at the first ">" outside quotes; a quote that nothing closes is a character like others.  Where a search finds no
+    end, it marks the quotes that it met outside of strings, and later searches that meet one of them end there.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.special, self.dead = page, page.rfind(">"), None, set()
+
+    def _next(self, kind: str, at: int) -> int:
+        found = self.special[kind]
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose name ends before at; -1 if it doesn't."""
+        if at > self.last:
+            return -1
+        if self.special is None:
+            self.special = {kind: [m.start() for m in re.finditer(kind, self.page)] for kind in ('"', "'", ">", "['\">]")}
+        met = []
+        while (at := self._next("['\">]", at)) >= 0 and at not in self.dead:
+            kind = self.page[at]
+            if kind == ">":
+                return at
+            met.append(at)
+            at = max(at, self._next(kind, at + 1)) + 1
+        self.dead.update(met)
+        return -1
+
+    def match(self, at: int) -> tuple[str, str, str, bool, int] | None:
+        """(slash, name, attributes, whether a slash closes it, end) of the tag at a position."""
+        found = TAG.match(self.page, at)
+        if found:
+            slash, name, attributes, stop = found[1], found[2], found[3], found.end()
+        else:
+            found = OPEN.match(self.page, at)
+            stop = self.end(found.end()) + 1 if found else 0
+            if not stop:
+                return None
+            slash, name, attributes = found[1], found[2], self.page[found.end() : stop - 1]
+        closed = attributes.endswith("/")
+        return slash, name.lower(), attributes[:-1] if closed else attributes, closed, stop
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -159,22 +210,22 @@ def blocks(page: str) -> list[Block]:
             ahead[pattern] = match.start() if match else len(page) + 1
         return ahead[pattern]
 
-    at = 0
-    while token := TOKEN.match(page, at):
-        at = token.end()
-        name = token[2]
-        if name is None:
-            raw = token[0]
+    at, tags = 0, _Tags(page)
+    while at < len(page):
+        tag = tags.match(at) if page[at] == "<" else None
+        if tag is None:
+            token = OTHER.match(page, at)
+            raw, at = token[0], token.end()
             if raw[0] != "<" or raw == "<":
                 pieces.append(raw)
                 if in_link:
                     linked.append(raw)
             continue
-        name = name.lower()
-        if name in PAGE_PARTS and not token[1]:
+        slash, name, attributes, closed, at = tag
+        if name in PAGE_PARTS and not slash:
             containers.part()
         if name in SKIPPED:
-            if token[1] or (name not in RAW and token[4] and not UNQUOTED.search(token[3])):
+            if slash or (name not in RAW and closed and not _unquoted(attributes)):
                 continue
             close = following(CLOSING[name])
             if name in RAW:
@@ -182,20 +233,20 @@ def blocks(page: str) -> list[Block]:
             elif close < following(BARRIERS.get(name, BARRIER)) and (name in NESTED or close < following(OPENING[name])):
                 at = CLOSING[name].match(page, close).end()
         elif name == "a":
-            in_link = 0 if token[1] else 1
+            in_link = 0 if slash else 1
         elif name == "br":
             pieces.append(" ")
         elif name in BLOCKS:
             end()
             if name in CONTAINERS:
-                if token[1]:
+                if slash:
                     containers.leave(name)
-                elif not token[4]:
+                elif not closed:
                     if name == "body":
                         containers.leave("head")
-                    containers.enter(name, _marks(name, token[3]))
-            elif not token[1]:
-                own = _marks(name, token[3])[:2]
+                    containers.enter(name, _marks(name, attributes))
+            elif not slash:
+                own = _marks(name, attributes)[:2]
                 heading = int(len(name) == 2 and name[0] == "h" and name[1].isdigit())
     end()
     boiler, content = containers.marks()
@@ -230,6 +281,9 @@ PAGES = """
 +3ch +7c
 +120 +80.1 +40
 -1.10 -1.10 -1.10 -5.8 +20 +30.1 +60 -2.10 -60.7 -80.8 -1.10
+-1.10 -2.10 +6h +60 +12 +80.1 +7 +70 -4 -26.8 -31.9 -24.7 -5 -40.8 -6
+-1.10 -1.10 +5h +4 +90 +8 +55.2 -9 -45.9 -7 -38.7 -3 -60.8
+-1.10 -5 -30.8 -42.9 -6 -28.7 +7h +50 +9 +66.1 +5 +31 -8 -33.9
 """
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -396,3 +397,26 @@ def test_query_digests_match_brute_force(spark):
         want[i] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in QUERIES["op10_winnowing_decontamination"][0](spark, d).collect()}
     assert got == want and any(x[4] for x in got.values())
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<p class=a " * 100_000, '<a href="' * 120_000, "<a \"' " * 170_000 + '">"', "<a " * 350_000 + '">"', "<option " + "=a" * 500_000 + " />", "<!--" * 250_000, '<p class="a>' * 90_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    ht.main_text(page, ht.train(ht.TABLE))
+    assert time.process_time() - began < 8  # 1 MB; the quadratic search took an hour
+
+
+def test_tags_end_at_the_first_bracket_outside_quotes():
+    seen = lambda page: [b.text for b in ht.blocks(page)]
+    assert seen('<p title="a > b">One<p title=\'x"y>\'>Two</p><p data=">Three</p>') == ["One", "Two", "Three"]
+    assert seen('<p a="<b>">One</p>"<p>Two</p>') == ["One", '"', "Two"]
+    assert seen("<p>a <b c <d</p>") == ["a"]
+    assert seen("a <b") == ["a <b"] and seen("<p>1 < 2 <") == ["1 < 2 <"]
+
+
+def test_the_link_density_of_neighbours_decides():
+    """Two pages that differ only in the links of the block behind a short one."""
+    tree = ht.train(ht.TABLE)
+    block = lambda words, links=0.0: ht.Block("", words, links, 0, 0, 0)
+    near = lambda links: tree(ht.features([block(60), block(80), block(5), block(40, links), block(50)]))[2]
+    assert near(0.0) and not near(0.8)

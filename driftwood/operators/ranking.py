@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwood.operators.selection import percentiles
+
 #: Order buckets of a running total.
 BUCKETS = 128
 
@@ -62,7 +64,7 @@ def partial_auc(scores: DataFrame, score: str, label: Column, max_fpr: float, by
 
 def thresholds(scores: DataFrame, score: str, label: Column, alphas: list[float], by: list[str] = ()) -> DataFrame:
     """(by, alpha, threshold): the exact linear quantile 1 - alpha of the negatives' scores."""
-    neg = scores.filter(~label).groupBy(*by).agg(F.percentile(score, F.array(*(F.lit(1 - a) for a in alphas))).alias("q"))
+    neg = percentiles(scores.filter(~label), score, [1 - a for a in alphas], by)
     return neg.select(*by, F.posexplode("q").alias("k", "threshold")).withColumn("alpha", F.element_at(F.array(*map(F.lit, alphas)), F.col("k") + 1)).drop("k")
 
 
@@ -108,7 +110,7 @@ def tail_score(reference: DataFrame, query: DataFrame, score: str) -> DataFrame:
     both = reference.select(F.col(score).alias("_s"), F.lit(1).alias("_ref")).groupBy("_s").agg(F.sum("_ref").alias("_ref")).unionByName(query.groupBy(F.col(score).alias("_s")).agg(F.lit(0).cast("long").alias("_ref")))
     both = both.groupBy("_s").agg(F.sum("_ref").alias("_ref"))
     ranked = running_totals(both, "_s", {"_upto": F.col("_ref")})
-    stats = reference.agg(F.count("*").alias("_n"), F.percentile(score, 0.5).alias("_mid"), F.percentile(score, 0.99).alias("_high"))
+    stats = reference.agg(F.count("*").alias("_n")).crossJoin(percentiles(reference, score, [0.5, 0.99]).select(F.get("q", F.lit(0)).alias("_mid"), F.get("q", F.lit(1)).alias("_high")))
     ranked = ranked.crossJoin(stats)  # of one row
     p = (1 + F.col("_n") - F.col("_upto") + F.col("_ref")) / (1 + F.col("_n"))
     z = (F.col("_s") - F.col("_mid")) / F.greatest(F.col("_high") - F.col("_mid"), F.lit(1e-12))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
+from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions.scalars import u01
 from driftwood.operators.graph import number
-from driftwood.operators.ranking import running_totals
 from driftwood.sources.scratch import checkpointed
 
 
@@ -28,42 +30,136 @@ def multiplicities(units: DataFrame, key: str, seed: str, resamples: int) -> Dat
 POISSON = [round(65536 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(8)]
 
 
-def drawn_times(df: DataFrame, key: str, resamples: int) -> DataFrame:
-    """df with t0, t1, ...: how often the unit named by key is drawn in each resample, a keyed Poisson number known without the other units.
+#: Draws that each of the 65536 numbers stands for.
+_TIMES = np.searchsorted(np.array(POISSON), np.arange(65536), side="right").astype(np.uint8)
+#: Rows of a part, rows that a task takes at once, and numbers of a matrix that it holds.
+PART, ROWS, CELLS = 100_000, 4096, 1 << 21
 
-    Sixteen resamples take one hash, four of its hexadecimal digits each, read three numbers at a time.  The number
-    of units in a resample varies by its square root.
-    """
-    hashes = {f"_h{k}": F.sha2(F.concat(F.lit(f"{k}:"), F.col(key)), 256) for k in range(-(-resamples // 16))}
-    groups = {f"_g{k}_{j}": F.conv(F.substring(f"_h{k}", 1 + 12 * j, 12), 16, 10).cast("bigint") for k in range(len(hashes)) for j in range(6)}
-
-    def times(b: int) -> Column:
-        k, j, i = b // 16, b % 16 // 3, b % 16 % 3
-        u = F.shiftright(F.col(f"_g{k}_{j}"), 0 if j == 5 else 16 * (2 - i)).bitwiseAND(65535)
-        return reduce(lambda x, y: x + y, ((u >= t).cast("int") for t in POISSON))
 
-    rows = df.withColumns(hashes).withColumns(groups)
-    return rows.select(*df.columns, *(times(b).alias(f"t{b}") for b in range(resamples)))
+def drawn(keys: list[str], first: int, resamples: int) -> np.ndarray:
+    """[unit, resample] from resample first on, a multiple of 16: how often the unit of a key is drawn, a keyed Poisson number known without
+    the other units.  Sixteen resamples take one hash, two bytes each.  The number of units in a resample varies by its square root.
+    """
+    blocks = range(first // 16, -(-(first + resamples) // 16))
+    whole = b"".join(sha256(f"{k}:{key}".encode()).digest() for key in keys for k in blocks)
+    return _TIMES[np.frombuffer(whole, ">u2").reshape(len(keys), 16 * len(blocks))][:, :resamples]
+
+
+def _pieces(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows sorted by s in pieces of about ROWS that no score crosses."""
+    s, at = rows["s"].to_numpy(), 0
+    while at < len(s):
+        end = len(s) if at + ROWS >= len(s) else int(np.searchsorted(s, s[at + ROWS], side="left"))
+        end = end if end > at else int(np.searchsorted(s, s[at], side="right"))
+        yield rows.iloc[at:end]
+        at = end
+
+
+def _slices(resamples: int, rows: int) -> Iterator[tuple[int, int]]:
+    step = max(16, CELLS // max(1, rows) // 16 * 16)
+    yield from ((a, min(step, resamples - a)) for a in range(0, resamples, step))
+
+
+def _sums(part: int, rows: pd.DataFrame, resamples: int) -> pd.DataFrame:
+    """Weights of the positives (p) and negatives (n) of a part and the area among them, for its first score, its last, and those between."""
+    s = rows["s"].to_numpy()
+    out = {k: np.zeros((3, resamples)) for k in ("p", "n", "area")}
+    for piece in _pieces(rows):
+        values, starts = np.unique(piece["s"].to_numpy(), return_index=True)
+        codes, keys = pd.factorize(piece["key"])
+        pos, w = piece["pos"].to_numpy(), piece["w"].to_numpy()
+        kind = np.where(values == s[0], 0, np.where(values == s[-1], 2, 1))
+        for a, m in _slices(resamples, len(piece)):
+            times = drawn(list(keys), a, m)[codes].astype(float)
+            p, n = np.add.reduceat(times * np.where(pos, w, 0.0)[:, None], starts), np.add.reduceat(times * ~pos[:, None], starts)
+            below = np.where((kind == 1)[:, None], n, 0.0).cumsum(0) - n + out["n"][1, a : a + m]
+            for k in range(3):
+                of = kind == k
+                if of.any():
+                    out["area"][k, a : a + m] += (p[of] * ((below[of] if k == 1 else 0.0) + n[of] / 2)).sum(0)
+                    out["p"][k, a : a + m] += p[of].sum(0)
+                    out["n"][k, a : a + m] += n[of].sum(0)
+    b = np.arange(resamples)
+    frames = [pd.DataFrame({"part": part, "kind": k, "s": s[0] if k < 2 else s[-1], "last": s[-1], "b": b, **{c: v[k] for c, v in out.items()}}) for k in range(3) if k == 0 or s[0] < s[-1]]
+    return pd.concat(frames, ignore_index=True)
+
+
+def _asked(rows: pd.DataFrame, asked: pd.DataFrame, found) -> pd.DataFrame:
+    """asked(b, at) with x = found(column of draws, scores, pos, w, at), over the rows between a part's first and last score."""
+    s = rows["s"].to_numpy()
+    rows = rows[(s > s[0]) & (s < s[-1])]
+    asked = asked.assign(x=np.nan)
+    codes, keys = pd.factorize(rows["key"])
+    s, pos, w = (rows[c].to_numpy() for c in ("s", "pos", "w"))
+    for block, own in asked.groupby(asked["b"] // 16):
+        times = drawn(list(keys), int(block) * 16, 16)[codes]
+        for i, b, at in zip(own.index, own["b"], own["at"], strict=True):
+            asked.loc[i, "x"] = found(times[:, b % 16], s, pos, w, at)
+    return asked
+
+
+def _score_at(times, s, pos, w, at) -> float:
+    return s[np.searchsorted(np.cumsum(times * ~pos), at, side="left")]
+
+
+def _above(times, s, pos, w, at) -> float:
+    return float((times * w)[pos & (s > at)].sum())
+
+
+def bootstrap(scores: DataFrame, score: str, label: Column, weight: Column, family: Column, row: Column, resamples: int, fpr: float = 0.01) -> DataFrame:
+    """(b, auc, tpr) of each resample: the weighted area, and the weighted share caught at a false-positive rate, whose threshold is the
+    resample's own.  Positives are drawn by family, negatives one by one.
+
+    Rows are dealt over range partitions of about PART rows by score, and by their key where scores are equal, so no score is one
+    task's.  A part draws its rows' weights for all resamples, some at a time, and sends sums for each resample: of its first score,
+    its last, and those between.  These say where in the order a threshold lies; the parts in which thresholds do look them
+    up, and then add up the positives above them.  No row is copied for a resample.
+    """
+    keyed = scores.select(
+        F.col(score).cast("double").alias("s"), label.alias("pos"), weight.cast("double").alias("w"),
+        F.when(label, F.concat(F.lit("family:"), family.cast("string"))).otherwise(F.concat(F.lit("row:"), row)).alias("key"),
+    ).filter("s is not null and pos is not null and w is not null and key is not null")
+    keyed = checkpointed(keyed)
+    parts = max(1, -(-keyed.count() // PART))
+    dealt = checkpointed(keyed.repartitionByRange(parts, "s", F.xxhash64("key")).withColumn("part", F.spark_partition_id()))
+
+    def sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _sums(int(key[0]), rows.sort_values("s", kind="stable"), resamples)
+
+    of_parts = checkpointed(dealt.groupBy("part").applyInPandas(sums, "part long, kind int, s double, last double, b int, p double, n double, area double"))
+    # the first and last scores of parts are joined where equal; between, a part has its scores for itself
+    ends = of_parts.filter("kind <> 1").groupBy("b", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).select("b", "s", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("part"), F.col("s").alias("last"), "p", "n", (F.col("p") * F.col("n") / 2).alias("area"))
+    inner = of_parts.filter("kind = 1").select("b", "s", "kind", "part", "last", "p", "n", "area")
+    own = Window.partitionBy("b")  # three rows a part
+    order = own.orderBy("s", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    segments = ends.unionByName(inner).withColumns({"upto": F.sum("n").over(order), "all_n": F.sum("n").over(own), "all_p": F.sum("p").over(own)})
+    segments = checkpointed(segments.withColumn("ahead", F.col("upto") - F.col("n")))
+    place = (F.col("all_n") - 1) * (1 - fpr)
+    auc = segments.groupBy("b").agg(F.try_divide(F.sum(F.col("area") + F.col("p") * F.col("ahead")), F.first("all_p") * F.first("all_n")).alias("auc"), F.first(place).alias("place"), F.first("all_p").alias("all_p"))
+    wanted = segments.withColumn("rank", F.explode(F.array(F.floor(place) + 1, F.floor(place) + 2))).filter("rank > ahead and rank <= upto").withColumn("which", F.col("rank") - F.floor(place))
+
+    def lookup(asked: DataFrame, found) -> DataFrame:
+        """asked(part, b, at, which) with x."""
+
+        def run(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(wanted):
+                return wanted.assign(x=[])[["b", "which", "x"]]
+            return _asked(rows.sort_values("s", kind="stable"), wanted.reset_index(drop=True), found)[["b", "which", "x"]]
+
+        met = dealt.join(asked.select("part").distinct(), "part", "left_semi")
+        return met.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(run, "b int, which long, x double")
+
+    inside = lookup(wanted.filter("kind = 1").select("part", "b", (F.col("rank") - F.col("ahead")).alias("at"), "which"), _score_at)
+    limits = wanted.filter("kind = 0").select("b", "which", F.col("s").alias("x")).unionByName(inside).groupBy("b").agg(F.max(F.when(F.col("which") == 1, F.col("x"))).alias("l"), F.max(F.when(F.col("which") == 2, F.col("x"))).alias("u"))
+    limits = checkpointed(auc.join(limits, "b", "left").withColumn("q", F.col("l") + (F.col("place") - F.floor("place")) * (F.coalesce("u", "l") - F.col("l"))))
+    cut = checkpointed(segments.join(limits.select("b", "q"), "b").filter("last > q or kind = 0 and s > q"))
+    crossed = (F.col("kind") == 1) & (F.col("s") < F.col("q"))
+    partly = lookup(cut.filter(crossed).select("part", "b", F.col("q").alias("at"), F.lit(0).cast("long").alias("which")), _above)
+    hits = cut.filter(~crossed).select("b", F.col("p").alias("x")).unionByName(partly.select("b", "x")).groupBy("b").agg(F.sum("x").alias("hit"))
+    return limits.join(hits, "b", "left").select("b", "auc", F.try_divide(F.coalesce("hit", F.lit(0.0)), "all_p").alias("tpr"))
 
 
 def bootstrap_ci(scores: DataFrame, score: str, label: Column, weight: Column, family: Column, row: Column, resamples: int, fpr: float = 0.01) -> DataFrame:
-    """One row: 95 % intervals of the weighted area and of the weighted share caught at a false-positive rate.
-
-    Positives are drawn by family, negatives one by one; the draws are added up for each distinct score before anything
-    is ranked, so no row is copied for a resample.
-    """
-    span, limit = range(resamples), 1 - fpr
-    keyed = scores.withColumn("_key", F.when(label, F.concat(F.lit("family:"), family.cast("string"))).otherwise(F.concat(F.lit("row:"), row)))
-    drawn = drawn_times(keyed.select(F.col(score).alias("s"), label.alias("pos"), weight.alias("w"), "_key"), "_key", resamples)
-    sums = drawn.groupBy("s").agg(*(x for b in span for x in (F.sum(F.when(F.col("pos"), F.col("w") * F.col(f"t{b}")).otherwise(0.0)).alias(f"p{b}"), F.sum(F.when(F.col("pos"), 0).otherwise(F.col(f"t{b}"))).alias(f"n{b}"))))
-    cum = checkpointed(running_totals(checkpointed(sums), "s", {f"c{b}": F.col(f"n{b}") for b in span}))
-    whole = cum.agg(*(x for b in span for x in (F.sum(f"p{b}").alias(f"all_p{b}"), F.sum(f"n{b}").alias(f"all_n{b}"), F.sum(F.col(f"p{b}") * (F.col(f"c{b}") - F.col(f"n{b}") * 0.5)).alias(f"all_a{b}"))))
-    whole = checkpointed(whole)
-    at = lambda b: (F.col(f"all_n{b}") - 1) * limit
-    first = lambda b, more: F.min(F.when(F.col(f"c{b}") >= F.floor(at(b)) + more, F.col("s")))
-    edges = cum.crossJoin(F.broadcast(whole)).agg(*(x for b in span for x in (first(b, 1).alias(f"l{b}"), first(b, 2).alias(f"h{b}"))))  # whole: one row
-    edges = edges.crossJoin(whole).select(*(x for b in span for x in (F.col(f"all_p{b}"), F.try_divide(F.col(f"all_a{b}"), F.col(f"all_p{b}") * F.col(f"all_n{b}")).alias(f"auc{b}"), (F.col(f"l{b}") + (at(b) - F.floor(at(b))) * (F.coalesce(f"h{b}", f"l{b}") - F.col(f"l{b}"))).alias(f"q{b}"))))
-    edges = checkpointed(edges)
-    caught = cum.crossJoin(F.broadcast(edges)).agg(*(F.try_divide(F.sum(F.when(F.col("s") > F.col(f"q{b}"), F.col(f"p{b}")).otherwise(0.0)), F.max(f"all_p{b}")).alias(f"tpr{b}") for b in span))  # edges: one row
-    both = caught.crossJoin(edges).select(F.explode(F.array(*(F.struct(F.col(f"auc{b}").alias("auc"), F.col(f"tpr{b}").alias("tpr")) for b in span))).alias("r")).select("r.*")
+    """One row: 95 % intervals of the weighted area and of the weighted share caught at a false-positive rate, over all resamples."""
+    both = bootstrap(scores, score, label, weight, family, row, resamples, fpr)  # a row for each resample
     return both.agg(*(F.percentile(c, q).alias(f"{c}_{name}") for c in ("auc", "tpr") for q, name in ((0.025, "lo"), (0.975, "hi"))), F.count("*").alias("resamples"))

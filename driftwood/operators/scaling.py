@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.operators.relational import unpivot
+from driftwood.operators.selection import percentiles
 
 
 def _applied(df: DataFrame, stats: DataFrame, columns: list[str], scaled) -> DataFrame:
@@ -23,7 +24,9 @@ def log_standard(df: DataFrame, columns: list[str], fit: Column) -> DataFrame:
 
 def robust(df: DataFrame, columns: list[str], fit: Column) -> DataFrame:
     """(x - median) / (IQR / 1.349) of the fit rows; an IQR of 0 counts as 1.349."""
-    stats = df.filter(fit).agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns))
+    values = df.filter(fit).select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))).alias("s")).select("s.*")
+    each = percentiles(values, "v", [0.25, 0.5, 0.75], ["c"])  # a row for each column
+    stats = each.agg(*(F.max(F.when(F.col("c") == c, F.col("q"))).alias(f"_q_{c}") for c in columns))
 
     def scaled(x: Column, c: str) -> Column:
         spread = (F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0]) / 1.349

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from driftwood.functions.scalars import u01
 from driftwood.operators import ranking, relational as rel
+from driftwood.operators.selection import percentiles
 from driftwood.plans.metrics import SCORES, score_rows, sql_auc
 from driftwood.plans.registry import query
 from driftwood.plans.relational import SEEDS, seeded_scores, sql_u01
@@ -115,8 +116,9 @@ def learning_curve(spark, d):
     runs = spark.createDataFrame([(f, s) for f in FRACTIONS for s in range(3)], "f double, seed long")
     train = r.filter("not test and not label").select("l_orderkey", "x", "y").crossJoin(F.broadcast(runs))  # of twelve rows
     train = train.filter(u01(F.concat(F.lit("curve:"), F.col("seed").cast("string"), F.lit(":"), F.col("l_orderkey").cast("string"))) < F.col("f"))
-    quarter = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    fit = train.groupBy("f", "seed").agg(quarter("x").alias("qx"), quarter("y").alias("qy"), F.count("*").alias("n_train"))
+    fit = train.groupBy("f", "seed").agg(F.count("*").alias("n_train"))
+    for c in ("x", "y"):
+        fit = fit.join(percentiles(train, c, [0.25, 0.5, 0.75], ["f", "seed"]).withColumnRenamed("q", f"q{c}"), ["f", "seed"])
     apart = lambda c, q: F.abs(F.col(c) - F.col(q)[1]) / (F.col(q)[2] - F.col(q)[0])
     s = r.filter("test or label").crossJoin(F.broadcast(fit)).select("f", "seed", "label", F.greatest(apart("x", "qx"), apart("y", "qy")).alias("score"))
     by = ["f", "seed"]
@@ -227,7 +229,7 @@ def metric_full_suite(spark, d):
     """All point estimates: areas over all, hard and flagged positives, shares caught at five rates, and a fixed rule's own."""
     s = score_rows(spark, d)
     label, hard, rule, w = F.col("label"), F.col("l_quantity") <= 25, F.col("l_quantity") > 45, F.col("w")
-    q = s.filter(~label).agg(F.percentile("score", F.array(*(F.lit(1 - a) for a in EXTRA))).alias("q"))
+    q = percentiles(s.filter(~label), "score", [1 - a for a in EXTRA])
     above = lambda k: F.col("score") > F.col("q")[k]
     share = lambda hit, rows: F.round(F.avg(F.when(rows, hit.cast("int"))), 6)
     fw = lambda hit, rows: F.round(F.sum(F.when(rows & hit, w)) / F.sum(F.when(rows, w)), 6)
@@ -253,8 +255,9 @@ def metric_population_suite(spark, d):
     s, label, w = score_rows(spark, d), F.col("label"), F.col("w")
     member = F.array_compact(F.array(*(F.when(label | F.expr(c), g) for g, c in POPULATIONS.items())))
     g = s.withColumn("grp", F.explode(member))
-    t = s.filter(~label).agg(F.percentile("score", 0.99).alias("t"))
-    q = g.filter(~label).groupBy("grp").agg(F.percentile("score", 0.99).alias("q"), F.count("*").alias("n")).filter("n >= 20").drop("n")
+    t = percentiles(s.filter(~label), "score", [0.99]).select(F.col("q")[0].alias("t"))
+    enough = g.filter(~label).groupBy("grp").agg(F.count("*").alias("n")).filter("n >= 20")
+    q = percentiles(g.filter(~label), "score", [0.99], ["grp"]).join(enough, "grp", "left_semi").select("grp", F.col("q")[0].alias("q"))
     m = g.join(F.broadcast(q), "grp").crossJoin(F.broadcast(t)).groupBy("grp").agg(F.avg(F.when(~label, (F.col("score") > F.col("t")).cast("int"))).alias("fpr"), (F.sum(F.when(label & (F.col("score") > F.col("q")), w)) / F.sum(F.when(label, w))).alias("tpr"))
     a = ranking.auc(g, "score", label, w, ["grp"]).select("grp", F.round("auc", 6).alias("auc_fw"))
     prec = F.col("tpr") / 66.0 / (F.col("tpr") / 66.0 + 0.01 * 65 / 66.0)

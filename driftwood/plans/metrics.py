@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from driftwood.functions.scalars import precision_at_base_rate, u01
 from driftwood.operators import ranking, relational as rel
-from driftwood.operators.resampling import POISSON, bootstrap_ci, multiplicities
+from driftwood.operators.resampling import POISSON, bootstrap, bootstrap_ci, multiplicities
+from driftwood.operators.selection import percentiles
 from driftwood.plans.registry import query
 from driftwood.plans.relational import SEEDS, seeded_scores, sql_u01
 from driftwood.sources.tables import table
@@ -115,7 +116,7 @@ def sql_suite(source: str) -> str:
 
 def suite(s, by=()):
     label = F.col("label")
-    q = s.filter(~label).groupBy(*by).agg(F.percentile("score", F.array(F.lit(0.99), F.lit(0.95))).alias("q"))
+    q = percentiles(s.filter(~label), "score", [0.99, 0.95], by)
     s = s.join(F.broadcast(q), list(by)) if by else s.crossJoin(q)  # q: one row for each group
     hit = F.col("score") > F.col("q")[0]
     share = lambda above, rows: F.round(F.avg(F.when(rows, above.cast("int"))), 6)
@@ -139,8 +140,9 @@ SELECT l_linestatus, round(any_value(auc), 6) AS auc, round(avg((score > t)::INT
 FROM s JOIN q USING (l_linestatus) JOIN a USING (l_linestatus), g GROUP BY 1""")
 def metric_subgroups(spark, d):
     s, label = score_rows(spark, d), F.col("label")
-    q = s.groupBy("l_linestatus").agg(F.percentile(F.when(~label, F.col("score")), 0.99).alias("t"), F.count_if(label).alias("p"), F.count_if(~label).alias("n")).filter("n >= 50 and p >= 20").drop("n", "p")
-    g = s.filter(~label).agg(F.percentile("score", 0.99).alias("tg"))
+    enough = s.groupBy("l_linestatus").agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n")).filter("n >= 50 and p >= 20")
+    q = percentiles(s.filter(~label), "score", [0.99], ["l_linestatus"]).join(enough, "l_linestatus", "left_semi").select("l_linestatus", F.col("q")[0].alias("t"))
+    g = percentiles(s.filter(~label), "score", [0.99]).select(F.col("q")[0].alias("tg"))
     a = ranking.auc(s, "score", label, F.col("w"), ["l_linestatus"]).select("l_linestatus", F.round("auc", 6).alias("auc"))
     share = lambda t: F.round(F.avg(F.when(label, (F.col("score") > F.col(t)).cast("int"))), 6)
     return s.join(F.broadcast(q), "l_linestatus").crossJoin(g).groupBy("l_linestatus").agg(share("t").alias("tpr_inside"), share("tg").alias("tpr_global")).join(a, "l_linestatus")
@@ -290,8 +292,8 @@ def family_auc_ci(scores, resamples):
 
 @query()
 def boot_ci_5000(spark, d):
-    """The interval over families alone, with a large number of resamples, too many for SQL."""
-    return family_auc_ci(score_rows(spark, d), ALL_RESAMPLES)
+    """boot_ci with the resamples of a full run, too many for its SQL."""
+    return interval(spark, d, ALL_RESAMPLES)
 
 
 PAIRED = f"""WITH v AS (SELECT seed, o_custkey, o_orderpriority < '2' AS label, score AS a, (score + {sql_u01("'b' || seed || ':' || o_orderkey")}) / 2 AS b FROM {SEEDS}),
@@ -313,7 +315,8 @@ def paired_difference(spark, d, resamples):
     families = multiplicities(v.filter("label").select("o_custkey").distinct(), "o_custkey", "pair", resamples).withColumnsRenamed({"times": "ft", "b": "r"})
     draws = spark.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
     seeds = draws.select("r", F.floor(u01(F.concat_ws(":", F.lit("seed"), F.col("r").cast("string"), F.col("j").cast("string"))) * 3).alias("seed")).groupBy("r", "seed").agg(F.count("*").alias("st"))
-    q = v.filter("not label").groupBy("seed").agg(F.percentile("a", 0.95).alias("qa"), F.percentile("b", 0.95).alias("qb"))
+    clean = v.filter("not label")
+    q = percentiles(clean, "a", [0.95], ["seed"]).select("seed", F.col("q")[0].alias("qa")).join(percentiles(clean, "b", [0.95], ["seed"]).select("seed", F.col("q")[0].alias("qb")), "seed")
     hit = v.filter("label").join(F.broadcast(q), "seed").groupBy("seed", "o_custkey").agg((F.count_if(F.expr("a > qa")) - F.count_if(F.expr("b > qb"))).alias("more"), F.count("*").alias("n"))
     times = F.col("st") * F.col("ft")
     diffs = hit.join(families, "o_custkey").join(F.broadcast(seeds), ["r", "seed"]).groupBy("r").agg((F.sum(times * F.col("more")) / F.sum(times * F.col("n"))).alias("d"))
@@ -326,10 +329,35 @@ def boot_paired(spark, d):
     return paired_difference(spark, d, BOOT)
 
 
+def paired_test(scores, by: list[int], resamples: int, seed_key: str = "seed", fpr: float = 0.05):
+    """(diff, ci_lo, ci_hi, p) of the share that a catches over that of b, from scores(seed, id, family, label, a, b).
+
+    Every resample draws families of positives, single negatives and seeds, the same for both scorers; each has the
+    threshold of the resample's own negatives.  p is two-sided, with one added to either tail.
+    """
+    out = None
+    for k in by:
+        own = scores.filter(F.col("seed") == k)
+        one = None
+        for c in ("a", "b"):
+            r = bootstrap(own, c, F.col("label"), F.lit(1.0), F.col("family"), F.col("id").cast("string"), resamples, fpr).select("b", F.col("tpr").alias(f"tpr_{c}"))
+            one = r if one is None else one.join(r, "b")
+        one = one.withColumn("k", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    n = len(by)
+    draws = F.transform(F.array(*map(F.lit, range(n))), lambda j: F.floor(u01(F.concat_ws(":", F.lit(seed_key), F.col("b").cast("string"), j.cast("string"))) * n))
+    times = F.size(F.filter(draws, lambda at: at == F.array_position(F.array(*map(F.lit, by)), F.col("k")) - 1))
+    diffs = out.withColumn("times", times).groupBy("b").agg((F.sum(F.col("times") * (F.col("tpr_a") - F.col("tpr_b"))) / n).alias("d"))
+    p = 2 * F.least(1 + F.count_if(F.expr("d <= 0")), 1 + F.count_if(F.expr("d >= 0"))) / (F.count("d") + 1.0)
+    return diffs.agg(F.avg("d").alias("diff"), F.percentile("d", 0.025).alias("ci_lo"), F.percentile("d", 0.975).alias("ci_hi"), F.least(F.lit(1.0), p).alias("p"), F.count("d").alias("resamples"))
+
+
 @query()
 def boot_paired_5000(spark, d):
-    """boot_paired with the resamples of a full run, too many for its SQL."""
-    return paired_difference(spark, d, ALL_RESAMPLES)
+    """Paired test of two scorers with the resamples of a full run: families, negatives and seeds are drawn, thresholds are each resample's own."""
+    v = seeded_scores(spark, d).withColumns({"label": F.col("o_orderpriority") < "2", "a": F.col("score"), "family": F.col("o_custkey"), "id": F.col("o_orderkey")})
+    v = v.withColumn("b", (F.col("score") + u01(F.concat(F.lit("b"), F.col("seed").cast("string"), F.lit(":"), F.col("o_orderkey").cast("string")))) / 2)
+    return rounded(paired_test(v, [0, 1, 2], ALL_RESAMPLES), "diff", "ci_lo", "ci_hi", "p")
 
 
 @query(f"""WITH v AS (SELECT seed, o_orderpriority, {sql_u01("'v' || seed || o_orderpriority")} AS val FROM {SEEDS} GROUP BY ALL), m AS (SELECT o_orderpriority AS method, avg(val) AS val FROM v GROUP BY 1)
@@ -347,7 +375,7 @@ SELECT o_orderpriority, round(avg(c), 6) AS caught_fw FROM g GROUP BY 1""")
 def metric_caught_by_group(spark, d):
     """Share caught in each candidate group, every family counting once, mean over seeds."""
     v = seeded_scores(spark, d).withColumn("label", F.col("o_orderpriority") < "3")
-    q = v.filter("not label").groupBy("seed").agg(F.percentile("score", 0.95).alias("t"))
+    q = percentiles(v.filter("not label"), "score", [0.95], ["seed"]).select("seed", F.col("q")[0].alias("t"))
     f = v.filter("label").join(F.broadcast(q), "seed").groupBy("seed", "o_orderpriority", "o_custkey").agg(F.avg((F.col("score") > F.col("t")).cast("int")).alias("c"))
     return f.groupBy("seed", "o_orderpriority").agg(F.avg("c").alias("c")).groupBy("o_orderpriority").agg(F.round(F.avg("c"), 6).alias("caught_fw"))
 

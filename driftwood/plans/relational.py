@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwood.functions.scalars import clean_unknown, clip, contamination_size, is_close, right_closed, split_of, u01
 from driftwood.operators import relational as rel
+from driftwood.operators.selection import percentiles
 from driftwood.plans.registry import query
 from driftwood.sources.tables import table
 
@@ -148,8 +149,8 @@ def agg_argmax_row(spark, d):
 
 @query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.99) AS q99, median(l_extendedprice) AS mid, quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25) AS iqr FROM lineitem GROUP BY 1")
 def agg_quantile_linear(spark, d):
-    q = F.percentile("l_extendedprice", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.99))))
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q")).select("l_returnflag", F.col("q")[3].alias("q99"), F.col("q")[1].alias("mid"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    q = percentiles(table(spark, d, "lineitem"), "l_extendedprice", [0.25, 0.5, 0.75, 0.99], ["l_returnflag"])
+    return q.select("l_returnflag", F.col("q")[3].alias("q99"), F.col("q")[1].alias("mid"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
 @query("""WITH long AS (UNPIVOT (SELECT p_size::DOUBLE AS p_size, p_retailprice::DOUBLE AS p_retailprice FROM part) ON p_size, p_retailprice INTO NAME feature VALUE value),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import sha256, shake_128
 
 import numpy as np
 import pandas as pd
@@ -32,17 +32,21 @@ POISSON = [round(65536 * math.exp(-1) * sum(1 / math.factorial(j) for j in range
 
 #: Draws that each of the 65536 numbers stands for.
 _TIMES = np.searchsorted(np.array(POISSON), np.arange(65536), side="right").astype(np.uint8)
-#: Rows of a part, rows that a task takes at once, and numbers of a matrix that it holds.
-PART, ROWS, CELLS = 100_000, 4096, 1 << 21
+#: Rows of a part, rows that a task takes at once, and numbers of a matrix that it holds; resamples of a hash where there are many.
+PART, ROWS, CELLS, MANY = 30_000, 4096, 1 << 21, 128
 
 
-def drawn(keys: list[str], first: int, resamples: int) -> np.ndarray:
-    """[unit, resample] from resample first on, a multiple of 16: how often the unit of a key is drawn, a keyed Poisson number known without
-    the other units.  Sixteen resamples take one hash, two bytes each.  The number of units in a resample varies by its square root.
+def drawn(keys: list[str], first: int, resamples: int, block: int = 16) -> np.ndarray:
+    """[unit, resample] from resample first on, a multiple of block: how often the unit of a key is drawn, a keyed Poisson number known
+    without the other units.  A block of resamples takes one hash, two bytes each: of sixteen, which SQL has too, or for many
+    resamples one as long as asked for.  The number of units in a resample varies by its square root.
     """
-    blocks = range(first // 16, -(-(first + resamples) // 16))
-    whole = b"".join(sha256(f"{k}:{key}".encode()).digest() for key in keys for k in blocks)
-    return _TIMES[np.frombuffer(whole, ">u2").reshape(len(keys), 16 * len(blocks))][:, :resamples]
+    blocks = range(first // block, -(-(first + resamples) // block))
+    if block == 16:
+        whole = b"".join(sha256(f"{k}:{key}".encode()).digest() for key in keys for k in blocks)
+    else:
+        whole = b"".join(shake_128(f"{k}:{key}".encode()).digest(2 * block) for key in keys for k in blocks)
+    return _TIMES[np.frombuffer(whole, ">u2").reshape(len(keys), block * len(blocks))][:, :resamples]
 
 
 def _pieces(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -55,12 +59,12 @@ def _pieces(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         at = end
 
 
-def _slices(resamples: int, rows: int) -> Iterator[tuple[int, int]]:
-    step = max(16, CELLS // max(1, rows) // 16 * 16)
+def _slices(resamples: int, rows: int, block: int) -> Iterator[tuple[int, int]]:
+    step = max(block, CELLS // max(1, rows) // block * block)
     yield from ((a, min(step, resamples - a)) for a in range(0, resamples, step))
 
 
-def _sums(part: int, rows: pd.DataFrame, resamples: int) -> pd.DataFrame:
+def _sums(part: int, rows: pd.DataFrame, resamples: int, block: int) -> pd.DataFrame:
     """Weights of the positives (p) and negatives (n) of a part and the area among them, for its first score, its last, and those between."""
     s = rows["s"].to_numpy()
     out = {k: np.zeros((3, resamples)) for k in ("p", "n", "area")}
@@ -69,8 +73,8 @@ def _sums(part: int, rows: pd.DataFrame, resamples: int) -> pd.DataFrame:
         codes, keys = pd.factorize(piece["key"])
         pos, w = piece["pos"].to_numpy(), piece["w"].to_numpy()
         kind = np.where(values == s[0], 0, np.where(values == s[-1], 2, 1))
-        for a, m in _slices(resamples, len(piece)):
-            times = drawn(list(keys), a, m)[codes].astype(float)
+        for a, m in _slices(resamples, len(piece), block):
+            times = drawn(list(keys), a, m, block)[codes].astype(float)
             p, n = np.add.reduceat(times * np.where(pos, w, 0.0)[:, None], starts), np.add.reduceat(times * ~pos[:, None], starts)
             below = np.where((kind == 1)[:, None], n, 0.0).cumsum(0) - n + out["n"][1, a : a + m]
             for k in range(3):
@@ -84,17 +88,16 @@ def _sums(part: int, rows: pd.DataFrame, resamples: int) -> pd.DataFrame:
     return pd.concat(frames, ignore_index=True)
 
 
-def _asked(rows: pd.DataFrame, asked: pd.DataFrame, found) -> pd.DataFrame:
+def _asked(rows: pd.DataFrame, asked: pd.DataFrame, found, block: int) -> pd.DataFrame:
     """asked(b, at) with x = found(column of draws, scores, pos, w, at), over the rows between a part's first and last score."""
     s = rows["s"].to_numpy()
     rows = rows[(s > s[0]) & (s < s[-1])]
     asked = asked.assign(x=np.nan)
     codes, keys = pd.factorize(rows["key"])
     s, pos, w = (rows[c].to_numpy() for c in ("s", "pos", "w"))
-    for block, own in asked.groupby(asked["b"] // 16):
-        times = drawn(list(keys), int(block) * 16, 16)[codes]
-        for i, b, at in zip(own.index, own["b"], own["at"], strict=True):
-            asked.loc[i, "x"] = found(times[:, b % 16], s, pos, w, at)
+    for k, own in asked.groupby(asked["b"] // block):
+        times = drawn(list(keys), int(k) * block, block, block)[codes]
+        asked.loc[own.index, "x"] = [found(times[:, b % block], s, pos, w, at) for b, at in zip(own["b"], own["at"], strict=True)]
     return asked
 
 
@@ -106,7 +109,7 @@ def _above(times, s, pos, w, at) -> float:
     return float((times * w)[pos & (s > at)].sum())
 
 
-def bootstrap(scores: DataFrame, score: str, label: Column, weight: Column, family: Column, row: Column, resamples: int, fpr: float = 0.01) -> DataFrame:
+def bootstrap(scores: DataFrame, score: str, label: Column, weight: Column, family: Column, row: Column, resamples: int, fpr: float = 0.01, block: int = 16) -> DataFrame:
     """(b, auc, tpr) of each resample: the weighted area, and the weighted share caught at a false-positive rate, whose threshold is the
     resample's own.  Positives are drawn by family, negatives one by one.
 
@@ -124,7 +127,7 @@ def bootstrap(scores: DataFrame, score: str, label: Column, weight: Column, fami
     dealt = checkpointed(keyed.repartitionByRange(parts, "s", F.xxhash64("key")).withColumn("part", F.spark_partition_id()))
 
     def sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _sums(int(key[0]), rows.sort_values("s", kind="stable"), resamples)
+        return _sums(int(key[0]), rows.sort_values("s", kind="stable"), resamples, block)
 
     of_parts = checkpointed(dealt.groupBy("part").applyInPandas(sums, "part long, kind int, s double, last double, b int, p double, n double, area double"))
     # the first and last scores of parts are joined where equal; between, a part has its scores for itself
@@ -144,7 +147,7 @@ def bootstrap(scores: DataFrame, score: str, label: Column, weight: Column, fami
         def run(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
             if not len(rows) or not len(wanted):
                 return wanted.assign(x=[])[["b", "which", "x"]]
-            return _asked(rows.sort_values("s", kind="stable"), wanted.reset_index(drop=True), found)[["b", "which", "x"]]
+            return _asked(rows.sort_values("s", kind="stable"), wanted.reset_index(drop=True), found, block)[["b", "which", "x"]]
 
         met = dealt.join(asked.select("part").distinct(), "part", "left_semi")
         return met.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(run, "b int, which long, x double")
@@ -159,7 +162,7 @@ def bootstrap(scores: DataFrame, score: str, label: Column, weight: Column, fami
     return limits.join(hits, "b", "left").select("b", "auc", F.try_divide(F.coalesce("hit", F.lit(0.0)), "all_p").alias("tpr"))
 
 
-def bootstrap_ci(scores: DataFrame, score: str, label: Column, weight: Column, family: Column, row: Column, resamples: int, fpr: float = 0.01) -> DataFrame:
+def bootstrap_ci(scores: DataFrame, score: str, label: Column, weight: Column, family: Column, row: Column, resamples: int, fpr: float = 0.01, block: int = 16) -> DataFrame:
     """One row: 95 % intervals of the weighted area and of the weighted share caught at a false-positive rate, over all resamples."""
-    both = bootstrap(scores, score, label, weight, family, row, resamples, fpr)  # a row for each resample
+    both = bootstrap(scores, score, label, weight, family, row, resamples, fpr, block)  # a row for each resample
     return both.agg(*(F.percentile(c, q).alias(f"{c}_{name}") for c in ("auc", "tpr") for q, name in ((0.025, "lo"), (0.975, "hi"))), F.count("*").alias("resamples"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwood.functions.scalars import precision_at_base_rate, u01
 from driftwood.operators import ranking, relational as rel
-from driftwood.operators.resampling import POISSON, bootstrap, bootstrap_ci, multiplicities
+from driftwood.operators.resampling import MANY, POISSON, bootstrap, bootstrap_ci, multiplicities
 from driftwood.operators.selection import percentiles
 from driftwood.plans.registry import query
 from driftwood.plans.relational import SEEDS, seeded_scores, sql_u01
@@ -262,7 +262,7 @@ def interval(spark, d, resamples):
     sizes = li.filter("label").groupBy("l_suppkey").agg(F.count("*").alias("size"))
     s = li.join(sizes, "l_suppkey", "left")
     row = F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")))
-    out = bootstrap_ci(s, "l_extendedprice", F.col("label"), F.when(F.col("label"), 1.0 / F.col("size")).otherwise(1.0), F.col("l_suppkey"), row, resamples)
+    out = bootstrap_ci(s, "l_extendedprice", F.col("label"), F.when(F.col("label"), 1.0 / F.col("size")).otherwise(1.0), F.col("l_suppkey"), row, resamples, block=MANY if resamples > BOOT else 16)
     return rounded(out, "auc_lo", "auc_hi", "tpr_lo", "tpr_hi")
 
 
@@ -340,7 +340,7 @@ def paired_test(scores, by: list[int], resamples: int, seed_key: str = "seed", f
         own = scores.filter(F.col("seed") == k)
         one = None
         for c in ("a", "b"):
-            r = bootstrap(own, c, F.col("label"), F.lit(1.0), F.col("family"), F.col("id").cast("string"), resamples, fpr).select("b", F.col("tpr").alias(f"tpr_{c}"))
+            r = bootstrap(own, c, F.col("label"), F.lit(1.0), F.col("family"), F.col("id").cast("string"), resamples, fpr, MANY).select("b", F.col("tpr").alias(f"tpr_{c}"))
             one = r if one is None else one.join(r, "b")
         one = one.withColumn("k", F.lit(k))
         out = one if out is None else out.unionByName(one)

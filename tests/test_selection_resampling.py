@@ -27,12 +27,13 @@ def test_percentiles_are_exact(spark, monkeypatch, parts, sent):
     assert selection.percentiles(df.limit(0), "v", [0.5], ["g"]).count() == 0
 
 
-def resampled(rows, b, fpr):
+def resampled(rows, b, fpr, block=16):
     """(auc, tpr) of a resample over rows (s, pos, w, key), by the definition."""
     times = []
     for *_, key in rows:
-        h = hashlib.sha256(f"{b // 16}:{key}".encode()).digest()
-        u = int.from_bytes(h[2 * (b % 16) : 2 * (b % 16) + 2], "big")
+        name = f"{b // block}:{key}".encode()
+        h = hashlib.sha256(name).digest() if block == 16 else hashlib.shake_128(name).digest(2 * block)
+        u = int.from_bytes(h[2 * (b % block) : 2 * (b % block) + 2], "big")
         times.append(sum(u >= t for t in resampling.POISSON))
     s, pos, w, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array(times)
     neg = np.repeat(s[~pos], t[~pos])
@@ -42,8 +43,8 @@ def resampled(rows, b, fpr):
     return (weight * below).sum() / weight.sum() / len(neg), weight[s[pos] > limit].sum() / weight.sum()
 
 
-@pytest.mark.parametrize("part,rows_at_once,cells", [(100_000, 4096, 1 << 21), (40, 7, 16), (7, 3, 700)])
-def test_resamples_equal_their_definition(spark, monkeypatch, part, rows_at_once, cells):
+@pytest.mark.parametrize("part,rows_at_once,cells,block", [(30_000, 4096, 1 << 21, 16), (40, 7, 16, 32), (7, 3, 700, 16)])
+def test_resamples_equal_their_definition(spark, monkeypatch, part, rows_at_once, cells, block):
     for name, value in (("PART", part), ("ROWS", rows_at_once), ("CELLS", cells)):
         monkeypatch.setattr(resampling, name, value)
     rng = np.random.default_rng(3)
@@ -51,11 +52,11 @@ def test_resamples_equal_their_definition(spark, monkeypatch, part, rows_at_once
     labels = rng.random(len(scores)) < 0.35
     made = [(i, float(s), bool(y), int(i % 23), float(1 + i % 3)) for i, (s, y) in enumerate(zip(scores, labels, strict=True))] + [(999, None, True, 1, 1.0), (998, 0.1, None, 1, 1.0)]
     df = spark.createDataFrame(made, "id long, score double, label boolean, family long, w double").repartition(4)
-    got = resampling.bootstrap(df, "score", F.col("label"), F.col("w"), F.col("family"), F.col("id").cast("string"), 37, 0.1).toPandas().set_index("b")
+    got = resampling.bootstrap(df, "score", F.col("label"), F.col("w"), F.col("family"), F.col("id").cast("string"), 37, 0.1, block).toPandas().set_index("b")
     rows = [(s, y, w, f"family:{f}" if y else f"row:{i}") for i, s, y, f, w in made if s is not None and y is not None]
     assert sorted(got.index) == list(range(37))
     for b in range(37):
-        assert (got.auc[b], got.tpr[b]) == pytest.approx(resampled(rows, b, 0.1))
+        assert (got.auc[b], got.tpr[b]) == pytest.approx(resampled(rows, b, 0.1, block))
 
 
 def test_paired_test_finds_the_better_scorer(spark):

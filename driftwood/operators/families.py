@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,23 +22,28 @@ def bands(least: float) -> int:
     return 1 if least >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(least**BAND)))
 
 
-def _shingled(size: int, shortest: int, of):
-    """(id, s): of(the sorted hashes of the distinct character shingles) of each text of at least shortest characters."""
+#: Texts of a block; two blocks' texts are what a task holds to compare their candidates.
+BLOCK = 32
+
+
+def shingles(text: str, size: int) -> np.ndarray:
+    """The sorted hashes of the distinct character shingles of a text."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(code) - size + 1, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + code[k : k + len(h)]
+    h ^= h >> np.uint64(29)
+    return np.unique(h * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def _shingled(size: int, of):
+    """(id, n, s): the number of distinct shingles of each text and of(their hashes)."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text is None or len(text) < max(shortest, size):
-                    continue
-                code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-                h = np.zeros(len(code) - size + 1, np.uint64)
-                for k in range(size):
-                    h = h * np.uint64(0x9E3779B97F4A7C15) + code[k : k + len(h)]
-                h ^= h >> np.uint64(29)
-                rows.append((i, of(np.unique(h * np.uint64(0xBF58476D1CE4E5B9))).view(np.int64)))
+            rows = [(i, shingles(t, size)) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t is not None and len(t) >= size]
             ids, sets = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([of(h).view(np.int64) for h in sets], pa.list_(pa.int64()))], ["id", "n", "s"])
 
     return run
 
@@ -96,18 +102,53 @@ def near_duplicate_pairs(texts: DataFrame, least: float, size: int = 9, shortest
     """(a, b, jaccard) with a < b: Jaccard similarity of the distinct character shingles of texts(id, text) of at least shortest characters.
 
     Equal texts meet as one representative, the least id; copy_classes has the others.  Candidates agree in a band of minimum hashes, which a pair at
-    least misses about once in a million times; the similarity is that of the whole sets (as 64-bit hashes).
+    least misses about once in a million times, and their sets are of like sizes; the similarity is that of the whole sets (as 64-bit hashes).
+    Candidates that have their least neighbour in common are cut into blocks, and a text travels once to each pair of blocks that has
+    candidates of it, not once a candidate; its set is made there.
     """
     long = texts.filter(F.length("text") >= shortest)
     reps = long.groupBy(F.md5("text").alias("m")).agg(F.min("id").alias("id"))
-    shingled = lambda rows, of: rows.select("id", "text").mapInArrow(_shingled(size, shortest, of), "id long, s array<long>")
-    keys = checkpointed(shingled(long.join(reps.select("id"), "id", "left_semi"), _keys(bands(least)))).select("id", F.explode("s").alias("key"))
-    pairs = checkpointed(keys.select(F.col("id").alias("a"), "key").join(keys.select(F.col("id").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct())
-    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = checkpointed(shingled(long.join(met, "id", "left_semi"), lambda h: h))  # of candidates only
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).filter(F.col("jaccard") >= least)
+    long = long.join(reps.select("id"), "id", "left_semi").select("id", "text")
+    keys = checkpointed(long.mapInArrow(_shingled(size, _keys(bands(least))), "id long, n long, s array<long>")).select("id", "n", F.explode("s").alias("key"))
+    like = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9)
+    side = lambda name: keys.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), "key")
+    pairs = checkpointed(side("a").join(side("b"), "key").filter(like).select("a", "b").distinct())
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    homes = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("home")))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    place = checkpointed(homes.join(sizes, "home").select("id", F.struct("home", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("part")).alias("block")))
+    at = lambda name: place.select(F.col("id").alias(name), F.col("block").alias(f"block_{name}"))
+    keyed = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"))
+    keyed = checkpointed(keyed.select("a", "b", F.concat_ws(":", "low.home", "low.part", "high.home", "high.part").alias("meeting")))
+    needed = keyed.select(F.col("meeting").alias("meets"), F.explode(F.array("a", "b")).alias("id")).distinct().join(long, "id")
+
+    def compare(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        sets = {i: shingles(t, size) for i, t in zip(texts["id"], texts["text"], strict=True)}
+        out = np.zeros(len(pairs))
+        for k, (a, b) in enumerate(zip(pairs["a"], pairs["b"], strict=True)):
+            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            out[k] = shared / (len(sets[a]) + len(sets[b]) - shared)
+        found = pairs[["a", "b"]].assign(jaccard=out)
+        return found[out >= least]
+
+    return keyed.groupBy("meeting").cogroup(needed.groupBy("meets")).applyInPandas(compare, "a long, b long, jaccard double")
+
+
+def rescued(scores: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """scores(id, label, score, ...) with twin, twin_score and normal_twin: whether a text has a near or exact copy, the greatest score of it and
+    all its copies, and whether a copy other than it has no label.
+
+    Scores and labels are summed up for each class of equal texts, so classes are never dealt out into pairs.
+    """
+    own = classes.join(scores, "id")
+    of_class = own.groupBy("rep").agg(F.max("score").alias("most"), F.count_if(~F.col("label")).alias("normal"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    near = both.join(of_class.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.max("most").alias("near_most"), F.max("normal").alias("near_normal"))
+    facts = own.select("id", "rep", "copies", "label").join(of_class, "rep").join(near, "rep", "left")
+    others = F.col("normal") - (~F.col("label")).cast("int") > 0
+    facts = facts.select("id", ((F.col("copies") > 1) | F.col("near_most").isNotNull()).alias("twin"), F.greatest("most", "near_most").alias("twin_score"), (others | (F.coalesce("near_normal", F.lit(0)) > 0)).alias("normal_twin"))
+    out = scores.join(facts, "id", "left")
+    return out.withColumns({"twin": F.coalesce("twin", F.lit(False)), "twin_score": F.greatest("score", "twin_score"), "normal_twin": F.coalesce("normal_twin", F.lit(False))})
 
 
 def families(rows: DataFrame, keys: list[Column], pairs: DataFrame) -> DataFrame:

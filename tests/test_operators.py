@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zipfile
 
 import numpy as np
@@ -229,3 +230,36 @@ def test_the_cache_extracts_only_what_it_lacks(spark, tmp_path):
     assert sorted(r.id for r in first.collect()) == [1, 2]
     again = cached(items, "id", f"{tmp_path}/cache", lambda t: t.withColumn("run", F.lit(2)))
     assert sorted((r.id, r.run) for r in again.collect()) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_near_copies_meet_in_blocks_and_pass_scores_on(spark, monkeypatch):
+    from driftwood.plans.similarity import twin_summary
+
+    monkeypatch.setattr(families, "BLOCK", 3)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    base = [text(700) for _ in range(4)]
+    rows = [(i, b[: 690 - k] + text(k)) for i, (b, k) in enumerate((b, k) for b in base for k in (0, 0, 5, 20, 60, 90, 130))] + [(100 + k, text(510 + 30 * k)) for k in range(12)] + [(200, "short"), (201, None)]
+    cut = {i: {x[k : k + 9] for k in range(len(x) - 8)} for i, x in rows if x and len(x) >= 500}
+    alike = lambda a, b: len(cut[a] & cut[b]) / len(cut[a] | cut[b])
+    truth = {(a, b): alike(a, b) for a in cut for b in cut if a < b and alike(a, b) >= 0.7}
+    t = spark.createDataFrame(rows, "id long, text string")
+    got = {(p.a, p.b): p.jaccard for p in families.with_copies(families.near_duplicate_pairs(t, 0.7), families.copy_classes(t)).collect()}
+    assert got.keys() == truth.keys() and all(abs(got[k] - truth[k]) < 1e-12 for k in truth)
+
+    label = {i: i % 3 == 0 for i, _ in rows}
+    score = {i: float(len(x or "")) for i, x in rows}
+    near = {i: [b if a == i else a for a, b in truth if i in (a, b)] for i in label}
+    after = {i: max([score[i], *(score[j] for j in near[i])]) for i in label}
+    limit = lambda of: np.quantile([of[i] for i in label if not label[i]], 0.95)
+    c, a = {i: score[i] > limit(score) for i in label}, {i: after[i] > limit(after) for i in label}
+    r = twin_summary(t, spark.createDataFrame([(i, y) for i, y in label.items()], "id long, label boolean")).first()
+    pos = [i for i in label if label[i]]
+    family = {i: None if x is None else re.sub(r"\s+", "", re.sub("[A-Za-z0-9+/=]{200,}", "<BLOB>", x)) for i, x in rows}
+    w = {i: 1 / sum(family[j] == family[i] for j in pos) for i in pos}
+    share = lambda hit, of: sum(w[i] for i in pos if of(i) and hit(i)) / sum(w[i] for i in pos if of(i)) if any(of(i) for i in pos) else None
+    every, missed, caught = (lambda i: True), (lambda i: not c[i]), (lambda i: c[i])
+    want = [len(pos), share(caught, every), share(lambda i: a[i], every), share(lambda i: bool(near[i]), missed), share(lambda i: bool(near[i]), caught), share(lambda i: any(not label[j] for j in near[i]), missed), share(lambda i: a[i], missed), share(lambda i: not a[i], caught)]
+    normal = [i for i in label if not label[i]]
+    want += [np.mean([bool(near[i]) for i in normal]), np.mean([after[i] > limit(score) and not c[i] for i in normal])]
+    assert [None if v is None else pytest.approx(v) for v in want] == list(r)

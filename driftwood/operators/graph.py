@@ -24,16 +24,40 @@ def has_peers(queries: DataFrame, references: DataFrame) -> DataFrame:
     return queries.select("id", "token").distinct().join(r, "token").filter("lo <> hi or lo <> id").select("id").distinct()
 
 
-def max_jaccard(pairs: DataFrame, query_sizes: DataFrame, reference_sizes: DataFrame) -> DataFrame:
-    """(q, max_jaccard) from shared counts and set sizes (q, nq) and (r, nr)."""
-    j = F.col("shared") / (F.col("nq") + F.col("nr") - F.col("shared"))
-    return pairs.join(query_sizes, "q").join(reference_sizes, "r").groupBy("q").agg(F.max(j).alias("max_jaccard"))
+def _overlaps(queries: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(q, nq, known, last, alone, uses) of every query and (q, r, shared, nq, nr) of all pairs that share two tokens or more, and some that share one.
 
-
-def containment_support(pairs: DataFrame, query_sizes: DataFrame) -> DataFrame:
-    """(q, support): references whose set contains the query's."""
-    found = pairs.join(query_sizes, "q").filter("shared = nq").groupBy("q").agg(F.count("*").alias("support"))
-    return query_sizes.select("q").join(found, "q", "left").na.fill(0, ["support"])
+    Pairs meet on a query's tokens but its last, the one that most references have: who shares two tokens shares one of the others.  So
+    a hub token, however many have it, makes no pair where it is the only one in common.  For that case a query knows
+    alone, the best similarity that one shared token gives, from the least set that each token is in; uses is how many sets have its last token.
+    """
+    q = queries.select(F.col("id").alias("q"), "token").distinct()
+    r = references.select(F.col("id").alias("r"), "token").distinct()
+    r = checkpointed(r.join(r.groupBy("r").agg(F.count("*").alias("nr")), "r"))
+    stats = r.groupBy("token").agg(F.count("*").alias("n"), F.min("nr").alias("least"))
+    q = checkpointed(q.join(stats, "token", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    known = F.col("n") > 0
+    per = q.groupBy("q").agg(F.count("*").alias("nq"), F.count_if(known).alias("known"), F.max(F.when(known, F.struct("n", "token"))).alias("top"), F.min("least").alias("least"))
+    per = checkpointed(per.select("q", "nq", "known", F.col("top.token").alias("last"), (1 / (F.col("nq") + F.col("least") - 1)).alias("alone"), F.col("top.n").alias("uses")))
+    heads = q.filter(known).join(per.select("q", "nq", "last"), "q").filter(F.col("token") != F.col("last"))
+    pairs = heads.select("q", "nq", "last", "token").join(r, "token").groupBy("q", "r", "nq", "nr", "last").agg(F.count("*").alias("shared"))
+    pairs = checkpointed(pairs).join(r.select("r", F.col("token").alias("last"), F.lit(1).alias("more")), ["r", "last"], "left")
+    return per, pairs.select("q", "r", (F.col("shared") + F.coalesce("more", F.lit(0))).alias("shared"), "nq", "nr")
+
+
+def max_jaccard(queries: DataFrame, references: DataFrame) -> DataFrame:
+    """(q, max_jaccard) of every query whose set shares a token with a reference's; tables (id, token)."""
+    per, pairs = _overlaps(queries, references)
+    best = pairs.groupBy("q").agg(F.max(F.col("shared") / (F.col("nq") + F.col("nr") - F.col("shared"))).alias("best"))
+    return per.filter("known > 0").join(best, "q", "left").select("q", F.greatest("alone", "best").alias("max_jaccard"))
+
+
+def containment_support(queries: DataFrame, references: DataFrame) -> DataFrame:
+    """(q, support): references whose set contains the query's; tables (id, token)."""
+    per, pairs = _overlaps(queries, references)
+    found = pairs.filter("shared = nq").groupBy("q").agg(F.count("*").alias("found"))
+    support = F.when(F.col("known") < F.col("nq"), 0).when(F.col("nq") == 1, F.col("uses")).otherwise(F.coalesce("found", F.lit(0)))
+    return per.join(found, "q", "left").select("q", support.cast("bigint").alias("support"))
 
 
 def number(df: DataFrame, key: str, name: str = "node", start: Column | int = 0) -> DataFrame:

@@ -51,10 +51,6 @@ def tokens(spark, d):
     return tok.filter("split = 'test'").select("id", "token"), tok.filter("split = 'train'").select("id", "token")
 
 
-def sizes(tok, name, n):
-    return tok.groupBy(F.col("id").alias(name)).agg(F.count("*").alias(n))
-
-
 @query(f"WITH {PAIRS} SELECT q, r, shared FROM pairs")
 def join_peer_overlap(spark, d):
     return g.peer_pairs(*tokens(spark, d))
@@ -135,7 +131,7 @@ def join_target_resolution(spark, d):
 @query(f"WITH {PAIRS}, nq AS (SELECT id, count(*) AS n FROM q GROUP BY 1), nr AS (SELECT id, count(*) AS n FROM r GROUP BY 1) SELECT q, round(max(shared / (nq.n + nr.n - shared)), 9) AS max_jaccard FROM pairs JOIN nq ON q = nq.id JOIN nr ON r = nr.id GROUP BY 1")
 def join_max_jaccard(spark, d):
     q, r = tokens(spark, d)
-    return g.max_jaccard(g.peer_pairs(q, r), sizes(q, "q", "nq"), sizes(r, "r", "nr")).select("q", F.round("max_jaccard", 9).alias("max_jaccard"))
+    return g.max_jaccard(q, r).select("q", F.round("max_jaccard", 9).alias("max_jaccard"))
 
 
 ONLY_DEPS = f"s AS ({SPLIT}), {DEPS}, q AS (SELECT name AS id, dep AS token FROM deps JOIN s ON name = o_orderkey WHERE split = 'test'), r AS (SELECT name AS id, dep AS token FROM deps JOIN s ON name = o_orderkey WHERE split = 'train')"
@@ -150,7 +146,7 @@ def dep_tokens(spark, d):
 @query(f"WITH {ONLY_DEPS}, p AS (SELECT q.id AS q, r.id AS r, count(*) AS shared FROM q JOIN r USING (token) GROUP BY ALL), n AS (SELECT id, count(*) AS n FROM q GROUP BY 1) SELECT id AS q, count(r) AS support FROM n LEFT JOIN p ON q = id AND shared = n GROUP BY 1")
 def join_containment_support(spark, d):
     q, r = dep_tokens(spark, d)
-    return g.containment_support(g.peer_pairs(q, r), sizes(q, "q", "nq"))
+    return g.containment_support(q, r)
 
 
 @query(f"""WITH {ONLY_DEPS}, dq AS (SELECT a.id, a.token AS a, b.token AS b FROM q a JOIN q b ON a.id = b.id AND a.token < b.token), dr AS (SELECT DISTINCT a.token AS a, b.token AS b FROM r a JOIN r b ON a.id = b.id AND a.token < b.token)

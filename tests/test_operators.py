@@ -263,3 +263,19 @@ def test_near_copies_meet_in_blocks_and_pass_scores_on(spark, monkeypatch):
     normal = [i for i in label if not label[i]]
     want += [np.mean([bool(near[i]) for i in normal]), np.mean([after[i] > limit(score) and not c[i] for i in normal])]
     assert [None if v is None else pytest.approx(v) for v in want] == list(r)
+
+
+def test_set_joins_hold_with_hubs(spark):
+    rng = random.Random(3)
+    sets = lambda n, size: {i: {rng.randint(1, 30) for _ in range(rng.randint(1, size))} | ({0} if i % 2 else set()) for i in range(n)}
+    q, r = sets(60, 4), sets(80, 5)
+    q |= {100: {0}, 101: {0, 99}, 102: {98, 99}, 103: {5}, 104: {0, 1, 2}}
+    r |= {200 + k: {0, 1000 + k} for k in range(40)}
+    frame = lambda of: spark.createDataFrame([(i, t) for i, s in of.items() for t in s] * 2, "id long, token long")
+    got = {x.q: x.max_jaccard for x in graph.max_jaccard(frame(q), frame(r)).collect()}
+    want = {i: max(len(s & t) / len(s | t) for t in r.values()) for i, s in q.items()}
+    assert got == pytest.approx({i: v for i, v in want.items() if v > 0})
+    support = {x.q: x.support for x in graph.containment_support(frame(q), frame(r)).collect()}
+    assert support == {i: sum(s <= t for t in r.values()) for i, s in q.items()}
+    _, pairs = graph._overlaps(frame({1: {0}, 2: {0, 7}}), frame({i: {0} if i % 2 else {0, i + 10} for i in range(50)}))
+    assert pairs.count() == 0  # the hub alone makes no pair

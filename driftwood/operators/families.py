@@ -49,18 +49,18 @@ def _shingled(size: int, of):
 
 
 def _keys(count: int):
-    """The keys of count bands of minima of a set of hashes."""
+    """The keys of count bands of minima of a set of hashes; of their upper halves, which a processor multiplies several at a time."""
     rng = np.random.Generator(np.random.PCG64(5))
     hashes = count * BAND
-    a, b = rng.integers(0, 2**63, hashes, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, hashes, np.uint64)
+    a, b = rng.integers(0, 2**31, hashes, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, hashes, np.uint32)
 
     def of(h):
-        least, room = np.empty(hashes, np.uint64), np.empty_like(h)
+        half = (h >> np.uint64(32)).astype(np.uint32)
+        least, room = np.empty(hashes, np.uint64), np.empty_like(half)
         for k in range(hashes):
-            np.multiply(h, a[k], out=room)
+            np.multiply(half, a[k], out=room)
             np.add(room, b[k], out=room)
             least[k] = room.min()
-        least >>= np.uint64(32)
         keys = np.arange(1, count + 1, dtype=np.uint64)
         for r in range(BAND):
             keys = keys * np.uint64(0x94D049BB133111EB) + least[r::BAND]
@@ -69,6 +69,25 @@ def _keys(count: int):
     return of
 
 
+#: Numbers of a matrix of texts and shingles.
+CELLS = 1 << 22
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """[set, set]: how many values two sets have in common, by products of their incidence, some values at a time."""
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out, step = np.zeros((len(sets), len(sets))), max(1, CELLS // len(sets))
+    for low in range(0, len(values), step):
+        a, b = np.searchsorted(at, [low, low + step])
+        m = np.zeros((len(sets), min(step, len(values) - low)), np.float32)
+        m[owner[a:b], at[a:b] - low] = 1
+        out += m @ m.T
+    return out
+
+
 def copy_classes(texts: DataFrame, shortest: int = 500) -> DataFrame:
     """(id, rep, copies) of every text of at least shortest characters: the least id of its equals, and how many they are."""
     long = texts.filter(F.length("text") >= shortest).select("id", F.md5("text").alias("m"))
@@ -123,13 +142,15 @@ def near_duplicate_pairs(texts: DataFrame, least: float, size: int = 9, shortest
     needed = keyed.select(F.col("meeting").alias("meets"), F.explode(F.array("a", "b")).alias("id")).distinct().join(long, "id")
 
     def compare(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        sets = {i: shingles(t, size) for i, t in zip(texts["id"], texts["text"], strict=True)}
-        out = np.zeros(len(pairs))
-        for k, (a, b) in enumerate(zip(pairs["a"], pairs["b"], strict=True)):
-            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            out[k] = shared / (len(sets[a]) + len(sets[b]) - shared)
-        found = pairs[["a", "b"]].assign(jaccard=out)
-        return found[out >= least]
+        if not len(pairs) or not len(texts):
+            return pd.DataFrame({"a": [], "b": [], "jaccard": []})
+        sets = [shingles(t, size) for t in texts["text"]]
+        place = {i: k for k, i in enumerate(texts["id"])}
+        a, b = (pairs[c].map(place).to_numpy() for c in ("a", "b"))
+        n = np.array([len(s) for s in sets])
+        shared = shared_counts(sets)[a, b]
+        found = pairs[["a", "b"]].assign(jaccard=shared / (n[a] + n[b] - shared))
+        return found[found["jaccard"] >= least]
 
     return keyed.groupBy("meeting").cogroup(needed.groupBy("meets")).applyInPandas(compare, "a long, b long, jaccard double")
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.llm.common import materialize, table, unit_hash
+from driftwood.llm.ordering import numbered
 
 #: Bits of a document's hash; bits that one round of splitting looks at.
 BITS, DEPTH = 60, 20
@@ -55,13 +56,12 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text:
 
 
 def _overflow(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows of equal hashes: copies of one size are counted, and their places follow from the counts alone."""
+    """Rows of equal hashes: copies of one size are numbered over range partitions, and every each of them are a shard."""
     each = F.greatest(F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))), F.lit(1))
-    counted = rows.groupBy("h", "doc_id", "bytes").agg(F.count("*").alias("n"))
-    copies = counted.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    part = F.floor(F.col("k") / each)
+    placed = numbered(rows.withColumn("copy", F.monotonically_increasing_id()), ["h", "doc_id", "bytes"], [F.col("copy")])
+    part = F.floor(F.col("place") / each)
     name = F.concat(F.expr("lpad(bin(h), 60, '0')"), F.lit("/"), F.col("bytes").cast("string"), F.lit("."), part.cast("string"))
-    return copies.select("doc_id", "bytes", F.lit(BITS).alias("depth"), name.alias("shard"), (F.least(each, F.col("n") - part * each) * F.col("bytes")).alias("shard_bytes"))
+    return placed.select("doc_id", "bytes", F.lit(BITS).alias("depth"), name.alias("shard"), (F.least(each, F.col("rows") - part * each) * F.col("bytes")).alias("shard_bytes"))
 
 
 #: The query's limit, so small that its buckets split in tables of a few megabytes too.

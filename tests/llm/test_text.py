@@ -420,3 +420,12 @@ def test_the_link_density_of_neighbours_decides():
     block = lambda words, links=0.0: ht.Block("", words, links, 0, 0, 0)
     near = lambda links: tree(ht.features([block(60), block(80), block(5), block(40, links), block(50)]))[2]
     assert near(0.0) and not near(0.8)
+
+
+def test_many_copies_of_one_id_are_dealt_out(spark):
+    rows = [(5, "y" * (50 + i % 3)) for i in range(5000)] + [(None, "z" * 70)] * 300 + [(i, "a" * 40) for i in range(200)]
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 2000).toPandas()
+    assert len(out) == len(rows)
+    sums = out.groupby("shard").bytes.sum()
+    assert sums.max() <= 2000 and (out.groupby("shard").shard_bytes.first() == sums).all()
+    assert out[out.doc_id == 5].shard.nunique() == 1 + sum(-(-len([1 for i in range(5000) if i % 3 == k]) // (2000 // (50 + k))) for k in range(3))

@@ -112,3 +112,48 @@ def squared_distance(a: Column, b: Column) -> Column:
 def contamination_size(level: float, normal: Column) -> Column:
     """Positives to add so that they are a share level of the whole (half to even)."""
     return F.bround(F.lit(level) * normal / (1 - level)).cast("bigint")
+
+
+#: The version scheme of PEP 440 (its appendix B), in lower case; fixed values.
+PEP440 = (
+    r"^v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?([0-9]*))?"
+    r"(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]*))?(?:[-_.]?(dev)[-_.]?([0-9]*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?$"
+)
+#: A requirement of PEP 508: name, extras, then an address or version clauses, then a marker.
+PEP508 = r"^([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[([^\]]*)\])?\s*(?:@\s*([^\s;]+)|\(?\s*((?:(?:===|~=|==|!=|<=|>=|<|>)\s*[^\s,;()]+\s*,?\s*)*)\)?)\s*(?:;\s*(.*))?$"
+
+
+def _whole(digits: Column) -> Column:
+    """Digits without leading zeros; none at all are 0."""
+    bare = F.ltrim(digits, F.lit("0"))
+    return F.when(bare == "", "0").otherwise(bare)
+
+
+def version(text: Column) -> Column:
+    """The normal form of a version by PEP 440; of any other text separators become dots, letters lower case, and a leading v goes."""
+    v = F.lower(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")))
+    part = lambda k: F.regexp_extract(v, PEP440, k)
+    release = F.array_join(F.transform(F.split(part(2), r"\."), _whole), ".")
+    epoch = F.when(F.ltrim(part(1), F.lit("0")) != "", F.concat(_whole(part(1)), F.lit("!"))).otherwise("")
+    pre = F.when(part(3) == "", "").otherwise(F.concat(F.when(part(3).isin("alpha", "a"), "a").when(part(3).isin("beta", "b"), "b").otherwise("rc"), _whole(part(4))))
+    post = F.when(part(5) != "", F.concat(F.lit(".post"), _whole(part(5)))).when(part(6) != "", F.concat(F.lit(".post"), _whole(part(7)))).otherwise("")
+    dev = F.when(part(8) != "", F.concat(F.lit(".dev"), _whole(part(9)))).otherwise("")
+    piece = lambda p: F.when(p.rlike("^[0-9]+$"), _whole(p)).otherwise(p)
+    local = F.when(part(10) == "", "").otherwise(F.concat(F.lit("+"), F.array_join(F.transform(F.split(part(10), "[-_.]"), piece), ".")))
+    other = F.ltrim(F.lower(F.regexp_replace(text, "[-_.]+", ".")), F.lit("v"))
+    return F.when(v.rlike(PEP440), F.concat(epoch, release, pre, post, dev, local)).otherwise(other)
+
+
+def requirement_parts(line: Column) -> Column:
+    """struct(name, extras, url, clauses, marker, optional) of a requirement line by PEP 508; null for comments, options, bare addresses and broken lines.
+
+    Names are normal, extras sorted, clauses without blanks and sorted; optional is whether the marker asks for an extra.
+    """
+    bare = F.trim(F.regexp_replace(line, r"(^|\s)#.*$", ""))
+    part = lambda k: F.regexp_extract(bare, PEP508, k)
+    listed = lambda c: F.array_join(F.array_sort(F.filter(F.transform(F.split(c, ","), lambda x: F.regexp_replace(x, r"\s", "")), lambda x: x != "")), ",")
+    found = F.struct(
+        normalise_name(part(1)).alias("name"), F.lower(listed(part(2))).alias("extras"), part(3).alias("url"), listed(part(4)).alias("clauses"), F.trim(part(5)).alias("marker"),
+        part(5).rlike(r"\bextra\s*==").alias("optional"),
+    )
+    return F.when(bare.rlike(PEP508) & ~bare.rlike("^(-|git\\+|https?:|file:)"), found)

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _found: dict[str, tuple[Query, str | None]] = {}
 #: Modules of driftwood.plans that register queries when imported.
-MODULES = ("relational", "metrics", "text", "graph", "similarity", "detection", "contrast", "composites", "training")
+MODULES = ("relational", "metrics", "text", "graph", "similarity", "detection", "contrast", "composites", "training", "grammar")
 
 
 def query(sql: str | None = None):

@@ -55,12 +55,14 @@ def _keys(count: int):
     a, b = rng.integers(0, 2**31, hashes, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, hashes, np.uint32)
 
     def of(h):
-        half = (h >> np.uint64(32)).astype(np.uint32)
-        least, room = np.empty(hashes, np.uint64), np.empty_like(half)
-        for k in range(hashes):
-            np.multiply(half, a[k], out=room)
-            np.add(room, b[k], out=room)
-            least[k] = room.min()
+        half = (h >> np.uint64(32)).astype(np.uint32)[:, None]
+        low, room = np.full(hashes, 2**32 - 1, np.uint32), np.empty((256, hashes), np.uint32)
+        for k in range(0, len(half), 256):  # as much as a core's cache holds
+            own = room[: min(256, len(half) - k)]
+            np.multiply(half[k : k + 256], a, out=own)
+            np.add(own, b, out=own)
+            np.minimum(low, own.min(0), out=low)
+        least = low.astype(np.uint64)
         keys = np.arange(1, count + 1, dtype=np.uint64)
         for r in range(BAND):
             keys = keys * np.uint64(0x94D049BB133111EB) + least[r::BAND]

@@ -282,7 +282,6 @@ PAGES = """
 +120 +80.1 +40
 -1.10 -1.10 -1.10 -5.8 +20 +30.1 +60 -2.10 -60.7 -80.8 -1.10
 -1.10 -2.10 +6h +60 +12 +80.1 +7 +70 -4 -26.8 -31.9 -24.7 -5 -40.8 -6
--1.10 -1.10 +5h +4 +90 +8 +55.2 -9 -45.9 -7 -38.7 -3 -60.8
 -1.10 -5 -30.8 -42.9 -6 -28.7 +7h +50 +9 +66.1 +5 +31 -8 -33.9
 """
 

@@ -59,6 +59,29 @@ def test_resamples_equal_their_definition(spark, monkeypatch, part, rows_at_once
         assert (got.auc[b], got.tpr[b]) == pytest.approx(resampled(rows, b, 0.1, block))
 
 
+def test_many_resamples_hash_a_key_once(spark, monkeypatch):
+    hashed = []
+    monkeypatch.setattr(resampling, "sha256", lambda b: hashed.append(b) or hashlib.sha256(b))
+    monkeypatch.setattr(resampling, "shake_128", None)  # one a key and block would take most of the time
+    keys = [f"row:{i}" for i in range(600)]
+    times = resampling.drawn(keys, 0, 1000, resampling.MANY)
+    assert hashed == [k.encode() for k in keys]
+    assert (resampling.drawn(keys[5:9], 256, 140, resampling.MANY) == times[5:9, 256:396]).all()
+    assert times.mean() == pytest.approx(1, abs=0.01) and times.var() == pytest.approx(1, abs=0.02)
+    assert max(np.abs(np.corrcoef(m[:40])[np.triu_indices(40, 1)]).max() for m in (times, times.T)) < 0.25
+    rng = np.random.default_rng(4)
+    made = [(i, round(float(rng.normal()), 1), i % 3 == 0, i // 9, float(1 + i % 2)) for i in range(300)]
+    df = spark.createDataFrame(made, "id long, score double, label boolean, family long, w double").repartition(3)
+    got = {r.b: r for r in resampling.bootstrap(df, "score", F.col("label"), F.col("w"), F.col("family"), F.col("id").cast("string"), 130, 0.1, resampling.MANY).collect()}
+    t = resampling.drawn([f"family:{f}" if y else f"row:{i}" for i, _, y, f, _ in made], 0, 130, resampling.MANY)
+    s, pos, w = np.array([r[1] for r in made]), np.array([r[2] for r in made]), np.array([r[4] for r in made])
+    for b in (0, 64, 129):
+        neg, weight = np.repeat(s[~pos], t[~pos, b]), (w * t[:, b])[pos]
+        below = (neg[None, :] < s[pos][:, None]).sum(1) + (neg[None, :] == s[pos][:, None]).sum(1) / 2
+        assert got[b].auc == pytest.approx((weight * below).sum() / weight.sum() / len(neg))
+        assert got[b].tpr == pytest.approx(weight[s[pos] > np.quantile(neg, 0.9)].sum() / weight.sum())
+
+
 def test_paired_test_finds_the_better_scorer(spark):
     rng = np.random.default_rng(5)
     rows = []

@@ -8,6 +8,7 @@ from driftwood.functions import scalars as fn
 from driftwood.operators import detectors as det, ranking
 from driftwood.operators.scaling import robust
 from driftwood.plans.registry import query
+from driftwood.sources.scratch import checkpointed
 from driftwood.sources.tables import table
 
 FEATURES = ["n_len", "max_line", "entropy", "symbols"]
@@ -63,8 +64,7 @@ PAIR_DIST = "list_distance(a.x, b.x)"
 def det_peer_deviation(spark, d):
     v = vectors(spark, d)
     q, r = v.filter("id % 5 = 0"), v.filter("id % 5 <> 0")
-    pairs = q.select(F.col("id").alias("q"), "label").join(r.select(F.col("id").alias("r"), "label"), "label").select("q", "r")
-    return det.peer_deviation(pairs, q, r, 5).select("q", "n", F.round("deviation", 6).alias("deviation"))
+    return det.group_deviation(q, r, 5, "label").select("q", "n", F.round("deviation", 6).alias("deviation"))
 
 
 @query(f"WITH {VEC}, n AS (SELECT a.id AS q, b.id AS r, {PAIR_DIST} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY dist, b.id) AS k FROM q a, r b) SELECT q, r, round(dist, 6) AS distance FROM n WHERE k <= 5")
@@ -238,8 +238,8 @@ def encoder_gin_svdd(spark, d):
     from driftwood.operators import encoders as enc
 
     v = vectors(spark, d).select("id", "x", "label")
-    n = det.neighbours(v, v.filter("id % 5 <> 0"), 5).groupBy(F.col("q").alias("node")).agg(F.array_sort(F.collect_list("r")).alias("nb"))
-    h = enc.gin_layer(v.select("id", "x"), enc.sampled(n, 8, "gin"), enc.weights(64, 16, 3), 64)
+    n = checkpointed(det.neighbours(v, v.filter("id % 5 <> 0"), 5)).groupBy(F.col("q").alias("node")).agg(F.array_sort(F.collect_list("r")).alias("nb"))
+    h = checkpointed(enc.gin_layer(v.select("id", "x"), enc.sampled(n, 8, "gin"), enc.weights(64, 16, 3), 64))
     return enc.svdd_scores(h, h.filter("id % 5 <> 0"))
 
 

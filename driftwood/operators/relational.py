@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwood.functions.scalars import u01
+from driftwood.operators.graph import number
 
 
 def feature_columns(df: DataFrame, excluded: set[str]) -> list[str]:
@@ -51,8 +52,20 @@ def capped_groups(df: DataFrame, group: str, key: str, cap: int, salt: str) -> D
     return ranked.filter(F.col("n") <= cap).withColumn("family_weight", F.lit(1.0) / F.count("*").over(Window.partitionBy(group))).drop("n")
 
 
+#: Rows of a sample from which on no limit, whose rows would meet in one task, takes them.
+LARGE = 50_000
+
+
+def shuffled(df: DataFrame, key: str, seed: str) -> DataFrame:
+    """df with u, the salted hash of its key, and place, its number from 0 on in the order of u and key, counted over range partitions."""
+    drawn = df.withColumn("u", u01(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    return number(drawn.withColumn("_at", F.struct("u", key)), "_at", "place").drop("_at")
+
+
 def sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     """n rows without replacement: those of least salted hash."""
+    if n >= LARGE:
+        return shuffled(df, key, seed).filter(F.col("place") < n).drop("place")
     return df.withColumn("u", u01(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).orderBy("u", key).limit(n)
 
 

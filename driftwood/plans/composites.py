@@ -15,7 +15,7 @@ from driftwood.plans.registry import query
 from driftwood.plans.relational import SEEDS, seeded_scores, sql_u01
 from driftwood.plans.text import FULL_NOISE, docs, sql_pattern
 from driftwood.sources.artefacts import cached, load_bundle, preflight, save_bundle
-from driftwood.sources.scratch import shared_folder
+from driftwood.sources.scratch import checkpointed, shared_folder
 from driftwood.sources.tables import table
 
 # Distributions whose module has another name.
@@ -111,19 +111,32 @@ s AS (SELECT f, seed, label, greatest(abs(x - mx) / sx, abs(y - my) / sy) AS sco
 
 @query(f"WITH {CURVE_ROWS}, a AS ({sql_auc('s', 'f, seed', '1.0')}), q AS (SELECT f, seed, quantile_cont(score, 0.95) AS t FROM s WHERE NOT label GROUP BY ALL), c AS (SELECT f, seed, avg((score > t)::INT) AS tpr FROM s JOIN q USING (f, seed) WHERE label GROUP BY ALL) SELECT f, round(avg(auc), 6) AS auc, round(avg(tpr), 6) AS tpr5, min(n_train) AS least_train FROM a JOIN c USING (f, seed) JOIN fit USING (f, seed) GROUP BY f")
 def learning_curve(spark, d):
-    """Fractions of the training rows x seeds: a robust-distance detector is fitted on each and scored on the same rows."""
+    """Fractions of the training rows x seeds: a robust-distance detector is fitted on each and scored on the same rows.
+
+    Rows that are equal in what a run sees of them are counted once, before they meet the runs.
+    """
     r = table(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"), (F.col("l_returnflag") == "R").alias("label"), (F.col("l_linestatus") == "O").alias("test"))
-    runs = spark.createDataFrame([(f, s) for f in FRACTIONS for s in range(3)], "f double, seed long")
-    train = r.filter("not test and not label").select("l_orderkey", "x", "y").crossJoin(F.broadcast(runs))  # of twelve rows
-    train = train.filter(u01(F.concat(F.lit("curve:"), F.col("seed").cast("string"), F.lit(":"), F.col("l_orderkey").cast("string"))) < F.col("f"))
-    fit = train.groupBy("f", "seed").agg(F.count("*").alias("n_train"))
+    runs = [(f, s) for f in FRACTIONS for s in range(3)]
+    u = [u01(F.concat(F.lit(f"curve:{k}:"), F.col("l_orderkey").cast("string"))).alias(f"u{k}") for k in range(3)]
+    train = r.filter("not test and not label").select("x", "y", *u).groupBy("x", "y").agg(*(F.count_if(F.col(f"u{s}") < f).alias(f"n{k}") for k, (f, s) in enumerate(runs)))
+    train = checkpointed(train)
+
+    def drawn(*values):
+        """(f, seed, values, n): how many training rows of a run have the values."""
+        own = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.lit(s).cast("long").alias("seed"), F.col(f"n{k}").alias("n")) for k, (f, s) in enumerate(runs)))).alias("run")
+        return train.groupBy(*values).agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(runs)))).select(*values, own).select(*values, "run.*").filter("n > 0")
+
+    fit = drawn().withColumnRenamed("n", "n_train")
     for c in ("x", "y"):
-        fit = fit.join(percentiles(train, c, [0.25, 0.5, 0.75], ["f", "seed"]).withColumnRenamed("q", f"q{c}"), ["f", "seed"])
+        fit = fit.join(percentiles(drawn(c), c, [0.25, 0.5, 0.75], ["f", "seed"], "n").withColumnRenamed("q", f"q{c}"), ["f", "seed"])
     apart = lambda c, q: F.abs(F.col(c) - F.col(q)[1]) / (F.col(q)[2] - F.col(q)[0])
-    s = r.filter("test or label").crossJoin(F.broadcast(fit)).select("f", "seed", "label", F.greatest(apart("x", "qx"), apart("y", "qy")).alias("score"))
+    rows, fit = checkpointed(r.filter("test or label").groupBy("x", "y", "label").agg(F.count("*").alias("n"))), checkpointed(fit)  # of twelve rows
     by = ["f", "seed"]
-    a = ranking.auc(s, "score", F.col("label"), None, by).select(*by, "auc")
-    c = ranking.caught(s, ranking.thresholds(s, "score", F.col("label"), [0.05], by), "score", F.col("label"), None, by).select(*by, "tpr")
+    s = rows.crossJoin(F.broadcast(fit)).select(*by, "label", "n", F.greatest(apart("x", "qx"), apart("y", "qy")).alias("score"))
+    s = checkpointed(s.groupBy(*by, "score", "label").agg(F.sum("n").alias("n")))
+    a = ranking.auc(s, "score", F.col("label"), F.col("n").cast("double"), by).select(*by, "auc")
+    scored = s.filter("score is not null")
+    c = ranking.caught(scored, ranking.thresholds(scored, "score", F.col("label"), [0.05], by, "n"), "score", F.col("label"), F.col("n"), by).select(*by, F.col("tpr_w").alias("tpr"))
     return a.join(c, by).join(fit.select(*by, "n_train"), by).groupBy("f").agg(F.round(F.avg("auc"), 6).alias("auc"), F.round(F.avg("tpr"), 6).alias("tpr5"), F.min("n_train").alias("least_train"))
 
 
@@ -267,8 +280,6 @@ def metric_population_suite(spark, d):
 @query("SELECT DISTINCT regexp_replace(lower(p_name), '[-_. ]+', '-', 'g') AS project FROM part")
 def source_project_snapshot(spark, d):
     """The list of projects, written once to the shared folder and read from there."""
-    from driftwood.sources.scratch import checkpointed
-
     return checkpointed(table(spark, d, "part").select(F.regexp_replace(F.lower("p_name"), "[-_. ]+", "-").alias("project")).distinct())
 
 

@@ -266,12 +266,16 @@ SELECT grp, round(auc, 6) AS auc_fw, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr1
 def metric_population_suite(spark, d):
     """For each (overlapping) group of negatives of twenty or more: area, false alarms at the global threshold, share caught at its own."""
     s, label, w = score_rows(spark, d), F.col("label"), F.col("w")
-    member = F.array_compact(F.array(*(F.when(label | F.expr(c), g) for g, c in POPULATIONS.items())))
-    g = s.withColumn("grp", F.explode(member))
-    t = percentiles(s.filter(~label), "score", [0.99]).select(F.col("q")[0].alias("t"))
-    enough = g.filter(~label).groupBy("grp").agg(F.count("*").alias("n")).filter("n >= 20")
-    q = percentiles(g.filter(~label), "score", [0.99], ["grp"]).join(enough, "grp", "left_semi").select("grp", F.col("q")[0].alias("q"))
-    m = g.join(F.broadcast(q), "grp").crossJoin(F.broadcast(t)).groupBy("grp").agg(F.avg(F.when(~label, (F.col("score") > F.col("t")).cast("int"))).alias("fpr"), (F.sum(F.when(label & (F.col("score") > F.col("q")), w)) / F.sum(F.when(label, w))).alias("tpr"))
+    # rows of one score that lie in the same groups are counted once, before they meet the groups
+    s = s.select("score", "label", "w", *(F.coalesce(label | F.expr(c), F.lit(False)).alias(g) for g, c in POPULATIONS.items()))
+    s = checkpointed(s.groupBy("score", "label", *POPULATIONS).agg(F.count("*").alias("n"), F.sum("w").alias("w")))
+    member = F.array_compact(F.array(*(F.when(F.col(g), g) for g in POPULATIONS)))
+    g = s.select("score", "label", "n", "w", F.explode(member).alias("grp"))
+    t = percentiles(s.filter(~label), "score", [0.99], weight="n").select(F.col("q")[0].alias("t"))
+    enough = g.filter(~label).groupBy("grp").agg(F.sum("n").alias("n")).filter("n >= 20")
+    q = percentiles(g.filter(~label), "score", [0.99], ["grp"], "n").join(enough, "grp", "left_semi").select("grp", F.col("q")[0].alias("q"))
+    above = lambda c: F.try_divide(F.sum(F.when(~label & (F.col("score") > F.col(c)), F.col("n")).otherwise(0)), F.sum(F.when(~label & F.col("score").isNotNull(), F.col("n"))))
+    m = g.join(F.broadcast(q), "grp").crossJoin(F.broadcast(t)).groupBy("grp").agg(above("t").alias("fpr"), (F.sum(F.when(label & (F.col("score") > F.col("q")), w)) / F.sum(F.when(label, w))).alias("tpr"))
     a = ranking.auc(g, "score", label, w, ["grp"]).select("grp", F.round("auc", 6).alias("auc_fw"))
     prec = F.col("tpr") / 66.0 / (F.col("tpr") / 66.0 + 0.01 * 65 / 66.0)
     return m.join(a, "grp").select("grp", "auc_fw", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr1_fw"), F.round(prec, 6).alias("prec65"))

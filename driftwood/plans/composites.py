@@ -13,7 +13,7 @@ from driftwood.operators.selection import percentiles
 from driftwood.plans.metrics import SCORES, score_rows, sql_auc
 from driftwood.plans.registry import query
 from driftwood.plans.relational import SEEDS, seeded_scores, sql_u01
-from driftwood.plans.text import FULL_NOISE, docs, sql_pattern
+from driftwood.plans.text import FULL_NOISE, docs, noise_flags, sql_pattern
 from driftwood.sources.artefacts import cached, load_bundle, preflight, save_bundle
 from driftwood.sources.scratch import checkpointed, shared_folder
 from driftwood.sources.tables import table
@@ -214,8 +214,8 @@ NOISE_LONG = " UNION ALL ".join([f"SELECT '{k}' AS category, * FROM n WHERE {k}"
 @query(f"WITH {NOISE_ROWS}, c AS ({NOISE_LONG}), t AS (SELECT split, count(*) AS all_, sum(caught::INT) AS all_caught FROM n GROUP BY 1) SELECT category, split, count(*) AS n, round(count(*) / any_value(all_), 6) AS share, count(DISTINCT family) AS families, round(avg(caught::INT), 6) AS caught_candidates, round((any_value(all_caught) - sum(caught::INT)) / nullif(any_value(all_) - count(*), 0), 6) AS caught_rest FROM c JOIN t USING (split) GROUP BY ALL")
 def label_noise_summary(spark, d):
     """Counts, shares and families of each category of label noise by split, and what is caught of it and of the rest."""
-    t = F.coalesce("text", F.lit(""))
-    n = table(spark, d, "documents").select("doc_id", F.col("source").alias("family"), F.when(u01(F.concat(F.lit("s:"), F.col("doc_id").cast("string"))) < 0.5, "train").otherwise("test").alias("split"), *(t.rlike(p).alias(k) for k, p in FULL_NOISE.items()), (F.length(t) > 1000).cast("int").alias("caught"))
+    t = F.col("text")
+    n = table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text")).select("doc_id", F.col("source").alias("family"), F.when(u01(F.concat(F.lit("s:"), F.col("doc_id").cast("string"))) < 0.5, "train").otherwise("test").alias("split"), *(hit.alias(k) for k, hit in noise_flags(t, F.col("low")).items()), (F.length(t) > 1000).cast("int").alias("caught"))
     some = {**{k: F.col(k) for k in FULL_NOISE}, "any": F.array_contains(F.array(*FULL_NOISE), True), "self_declared": F.col("research") | F.col("ctf")}
     tags = F.array_compact(F.array(*(F.when(c, k) for k, c in some.items())))
     total = n.groupBy("split").agg(F.count("*").alias("all"), F.sum("caught").alias("all_caught"))

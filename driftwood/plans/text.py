@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -137,18 +138,41 @@ FULL_NOISE = {
 TEST_NAME = r"(?iU)^(test|testing|demo|poc|hello|helloworld|example|dummy|sample)([-_.]|$)|[-_.](test|poc|demo)$"
 
 
+#: What a text that matches has, in lower case: one of these words for each pattern.  The alternative that starts with "do not" has words
+#: that many texts have and is looked for by itself.
+DO_NOT = r"do[\s_-]*not[\s_-]*(install|use)|"
+NOISE_WORDS = {
+    "research": "proof poc security bounty hackerone bugcrowd intigriti yeswehack confusion research penetration pentest team disclosure package harmless benign".split(),
+    "callback": "burpcollaborator oastify interact oast. canarytokens dnslog ceye requestbin pipedream webhook beeceptor requestcatcher hookbin ngrok".split(),
+    "ctf": ["ctf", "flag"],
+    "test_word": ["test"],
+}
+#: Letters that count as k, s and i where case is ignored.
+FOLDED = "\u212a\u017f\u0131\u0130"
+
+
+def noise_flags(t, low):
+    """Whether a text t, low in lower case, matches each of the patterns; these are tried only where one of their words is there."""
+    some = lambda words: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+    folded = reduce(lambda a, b: a | b, (F.contains(t, F.lit(c)) for c in FOLDED))
+    out = {k: (some(NOISE_WORDS[k]) | folded) & t.rlike(p.replace(DO_NOT, "")) for k, p in FULL_NOISE.items()}
+    out["research"] = out["research"] | (some(["not"]) | folded) & t.rlike("(?iU)" + DO_NOT.rstrip("|"))
+    return out
+
+
 def noise_matches(df):
     """For each of df(doc_id, text) which patterns it matches, each with a snippet around its own first match ("" without one).
 
     The first word of a text plays the name of the release.
     """
-    t = F.coalesce("text", F.lit(""))
-    out = []
-    for k, p in FULL_NOISE.items():
+    df = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    t, out = F.col("text"), []
+    for k, hit in noise_flags(t, F.col("low")).items():
+        p = FULL_NOISE[k]
         start, size = F.length(F.element_at(F.split(t, p, 2), 1)), F.length(F.regexp_extract(t, p, 0))
         first = F.greatest(F.lit(0), start - 60)
         around = F.left(F.regexp_replace(F.substring(t, first + 1, start + size + 60 - first), r"(?U)\s+", " "), F.lit(160))
-        out += [t.rlike(p).alias(k), F.when(t.rlike(p), around).otherwise("").alias(f"{k}_match")]
+        out += [hit.alias(k), F.when(hit, around).otherwise("").alias(f"{k}_match")]
     return df.select("doc_id", *out, F.regexp_extract(t, r"^\s*(\S*)", 1).rlike(TEST_NAME).alias("test_name"))
 
 

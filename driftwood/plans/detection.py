@@ -41,9 +41,11 @@ def flagship_detection_report(spark, d):
         "doc_id", "lang", "toxic", "quality", "u", "family", F.log1p(F.length(t)).alias("n_len"), F.log1p(fn.max_line_length(t)).alias("max_line"),
         F.log1p(F.coalesce("entropy", F.lit(0.0))).alias("entropy"), F.log1p(fn.symbol_ratio(t)).alias("symbols"),
     )
+    x = checkpointed(x)  # the texts are read once, every quantile and metric reads these rows
     z = robust(x, FEATURES, (F.col("u") < 0.5) & (F.col("quality") == 1) & (F.col("toxic") == 0))
     sizes = z.groupBy("family").agg(F.count("*").alias("size"))
     s = z.join(sizes, "family").select("lang", (F.col("toxic") == 1).alias("label"), F.round(sum(F.abs(c) for c in FEATURES), 6).alias("score"), (1 / F.col("size")).alias("w"))
+    s = checkpointed(s)
     g = s.withColumn("lang", F.lit("all")).unionByName(s)
     label = F.col("label")
     enough = g.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(label).alias("positives")).filter("lang = 'all' or (positives >= 5 and n - positives >= 20)")

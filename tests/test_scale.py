@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwood.operators import graph, ranking, resampling, selection
-from driftwood.plans import composites
+from driftwood.plans import composites, detection, text
 from driftwood.plans.registry import registered
 
 DATA = "/root/testdata/sf0.001"
@@ -67,3 +67,30 @@ def test_pairs_of_sets_are_dealt_out_by_their_number(spark, monkeypatch):
     assert got == pytest.approx({i: max(len(s & o) / len(s | o) for o in r.values()) for i, s in q.items()})
     assert {x.q: x.support for x in graph.containment_support(frame(q), frame(r)).collect()} == {i: sum(s <= o for o in r.values()) for i, s in q.items()}
     assert graph._overlaps(frame(q), frame(r))[1].rdd.getNumPartitions() > 20
+
+
+def test_sets_are_dealt_out_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS", 10)
+    sets = spark.createDataFrame([(i, t) for i in range(30) for t in (i, i + 1, i + 1)], "id long, token long")
+    dealt = graph._dealt(sets, "q")
+    assert dealt.count() == 60 and dealt.rdd.getNumPartitions() == 9
+
+
+def test_noise_words_leave_no_match_out(spark):
+    hits = ["Proof-of concept", "a PoC.", "SECURITY_test", "bug bounty", "vulnerability research", "Red Team", "responsible disclosure", "DO NOT\u00a0use", "donotinstall", "this package is test", "harmles\u017f", "ben\u0131gn", "BEN\u0130GN"]
+    hits += ["hac\u212aerone", "x.oast.pro", "ceye.io", "INTERACT.SH", "c\u0131eye.io dnslog.cn", "capture the FLAG", "flag{x}", "CTF", "te\u017ft", "Testing", "requestbin"]
+    rows = [(i, x) for i, x in enumerate([*hits, "note", "flags", "contest", "the package", "do not", "", *(x + " é" for x in hits)])]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("low", F.lower("text"))
+    got = df.select("id", *(c.alias(k) for k, c in text.noise_flags(F.col("text"), F.col("low")).items()))
+    want = df.select("id", *(F.col("text").rlike(p).alias(k) for k, p in text.FULL_NOISE.items()))
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert want.filter("research").count() >= 26
+
+
+def test_flagship_reads_its_texts_once(spark, monkeypatch):
+    written = []
+    keep = detection.checkpointed
+    monkeypatch.setattr(detection, "checkpointed", lambda df: (written.append(df.columns), keep(df))[1])
+    out = registered()["flagship_detection_report"][0](spark, DATA)
+    assert "text" not in sum(written, []) and len(written) == 2
+    assert "documents.parquet" not in out._jdf.queryExecution().optimizedPlan().toString()

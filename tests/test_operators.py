@@ -279,3 +279,57 @@ def test_set_joins_hold_with_hubs(spark):
     assert support == {i: sum(s <= t for t in r.values()) for i, s in q.items()}
     _, pairs = graph._overlaps(frame({1: {0}, 2: {0, 7}}), frame({i: {0} if i % 2 else {0, i + 10} for i in range(50)}))
     assert pairs.count() == 0  # the hub alone makes no pair
+
+
+def test_near_copies_are_summed_up_where_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(families, "SHINGLES", 9000)  # a dozen texts
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    base = [text(700), text(800)]
+    rows = [(i, b[: len(b) - k] + text(k)) for i, (b, k) in enumerate((b, k) for b in base for k in [*range(0, 160, 4), 0, 0])] + [(900, text(600)), (901, "short"), (902, None)]
+    cut = {i: {x[k : k + 9] for k in range(len(x) - 8)} for i, x in rows if x and len(x) >= 500}
+    near = {i: {j: len(cut[i] & cut[j]) / len(cut[i] | cut[j]) for j in cut if j != i} for i in cut}
+    t = spark.createDataFrame(rows, "id long, text string")
+
+    def reach(least):
+        comp = {i: i for i, _ in rows}
+        while (now := {i: min([comp[i], *(comp[j] for j, s in near.get(i, {}).items() if s >= least)]) for i in comp}) != comp:
+            comp = now
+        return comp
+
+    links = {i: sum(s >= 0.8 for s in near.get(i, {}).values()) for i, _ in rows}
+    got = {r.id: (r.component_id, r.n_links) for r in families.link_numbers(t, 0.8).collect()}
+    assert got == {i: (c, links[i]) for i, c in reach(0.8).items()}
+
+    levels = (0.7, 0.8, 0.9, 0.95)
+    met = families.near_copies(t, 0.7, t.select("id"), tied=levels)
+    assert met.count() < sum(len(x) for x in near.values()) / 4  # no row a pair
+    reps = families.copy_classes(t).filter("id = rep").select("id")
+    for least in levels:
+        comp = reach(least)
+        assert all(comp[r.id] == r.component for r in graph.components(reps, families.tied_at(met, least)).collect())
+
+    flags = spark.createDataFrame([(i, i in (3, 44, 900)) for i, _ in rows], "id long, flag boolean")
+    want = {i: any(j in (3, 44, 900) for j, s in x.items() if s >= 0.7) for i, x in near.items() if any(s >= 0.7 for s in x.values())}
+    assert {r.id: r.near_flag for r in families.flagged_near(t, flags, 0.7).collect()} == want
+
+
+def test_a_batch_of_texts_keeps_no_sets_but_one(monkeypatch):
+    import pyarrow as pa
+
+    held, most = [], []
+    make = families.shingles
+
+    class Kept(np.ndarray):
+        def __del__(self):
+            held.pop()
+
+    def counted(t, size):
+        held.append(1)
+        most.append(len(held))
+        return make(t, size).view(Kept)
+
+    monkeypatch.setattr(families, "shingles", counted)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(30)), "m": ["m"] * 30, "text": [f"{k} text of some length" for k in range(30)]})
+    out = list(families._shingled(9, lambda h: np.array([len(h)], np.uint64))([batch]))
+    assert sum(b.num_rows for b in out) == 30 and max(most) <= 3
